@@ -27,7 +27,7 @@ def vector_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIR_SQL = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-s AS (SELECT a.vec_id AS q, b.vec_id AS c, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id)"""
+s AS MATERIALIZED (SELECT a.vec_id AS q, b.vec_id AS c, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id)"""
 
 _SCORING = R.Scoring(min_score=MIN_SIM)
 
@@ -113,7 +113,7 @@ _LABEL_SQL = f"""lp AS (SELECT vec_id, chr(96 + CAST(k AS INTEGER)) AS name, {_P
 tl AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, name) AS r FROM lp),
 t3 AS (SELECT *, sum(prob) OVER (PARTITION BY vec_id ORDER BY r) AS lead FROM tl WHERE r <= 3),
 m AS (SELECT a.vec_id AS q, b.vec_id AS c, sum(a.prob * b.prob) AS num, count(*) AS common FROM t3 a JOIN t3 b ON a.name = b.name GROUP BY 1, 2),
-ls AS (SELECT m.q, m.c, CASE WHEN l.lead > 0 THEN num / l.lead ELSE num END AS ls FROM m JOIN t3 l ON l.vec_id = m.q AND l.r = m.common)"""
+ls AS MATERIALIZED (SELECT m.q, m.c, CASE WHEN l.lead > 0 THEN num / l.lead ELSE num END AS ls FROM m JOIN t3 l ON l.vec_id = m.q AND l.r = m.common)"""
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUSED_SQL = f"""{PAIR_SQL}, {_LABEL_SQL},
 fused AS (SELECT s.q, s.c, 0.6::DOUBLE * sim + 0.4::DOUBLE * coalesce(ls, 0) AS rel, sim, coalesce(ls, 0) AS ls FROM s LEFT JOIN ls USING (q, c)),
-band AS (SELECT * FROM fused WHERE rel >= 0.1 AND sim <= 0.92)"""
+band AS MATERIALIZED (SELECT * FROM fused WHERE rel >= 0.1 AND sim <= 0.92)"""
 
 
 @query("fused_retrieval", f"WITH {_FUSED_SQL}, {_mmr_sql('band', '1.0::DOUBLE', '0.2::DOUBLE', floor=True)}")
