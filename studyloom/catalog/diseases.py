@@ -13,6 +13,7 @@ from ..functions import ids
 from ..operators import history as H
 from ..operators import knowledge as K
 from ..operators import patient as P
+from ..session import cut_lineage
 from . import query
 from .tables import LINE_TIE, ordered_lines, table
 
@@ -93,7 +94,10 @@ def study_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnosis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.history_diagnoses(study_histories(spark, sf_dir), key="study_id", history="history", study_time="study_dt")
+    """The long history table, written once: several operators read it."""
+    return cut_lineage(
+        P.history_diagnoses(study_histories(spark, sf_dir), key="study_id", history="history", study_time="study_dt")
+    )
 
 
 DIAG_SQL = f"""{LINES_SQL},
@@ -176,7 +180,7 @@ def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     relations = K.fixed_relations(spark, RELATIONS).unionByName(
         K.cooccurrence_relations(mined_pairs(spark, sf_dir), len(RELATIONS))
     )
-    return kb_entities(spark, sf_dir), relations
+    return cut_lineage(kb_entities(spark, sf_dir)), cut_lineage(relations)
 
 
 @query(
@@ -268,7 +272,7 @@ def evidence(spark: SparkSession, sf_dir: str, diagnosis: DataFrame) -> DataFram
         orders, subject="o_custkey", study_time="o_orderdate", study_id="o_orderkey", text="o_orderpriority", min_chars=5
     )
     found = history_findings(past.select(F.col("o_orderkey").alias("study_id"), "past_reports"), "study_id", "past_reports", FINDING_WORDS)
-    return P.imaging_evidence(diagnosis, found, "study_id", CODE_FINDINGS)
+    return cut_lineage(P.imaging_evidence(diagnosis, found, "study_id", CODE_FINDINGS))
 
 
 @query("imaging_evidence", f"WITH {DIAG_SQL}, {_EVIDENCE_SQL} SELECT study_id, icd, array_to_string(evidence, ',') AS evidence FROM evi")
@@ -396,7 +400,7 @@ def patient_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progression_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, _, nodes, _ = patient_graphs(spark, sf_dir)
     steps = P.timeline_steps(d, "study_id")
-    edges = P.progression_edges(steps, nodes, knowledge(spark, sf_dir)[1], "study_id")
+    edges = P.progression_edges(steps, nodes, K.fixed_relations(spark, RELATIONS), "study_id")
     return edges.groupBy("study_id", "src", "tgt").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight")
     )

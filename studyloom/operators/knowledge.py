@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 RELATION_SCHEMA = "src string, tgt string, rel_type string, weight double, ord long"
 
 
@@ -146,6 +148,7 @@ def subgraph(
     fill the limit are cut to the first codes and bring no relation. In the end
     everything is closed on codes known to the base.
     """
+    # every hop reads the members several times: each step is written once and read back
     known = entities.select("icd")
     by_code = Window.partitionBy(key).orderBy("icd")
     members = (
@@ -155,6 +158,7 @@ def subgraph(
         .filter(F.col("__r") <= max_entities)
         .drop("__r")
     )
+    members = cut_lineage(members)
     parents = known.select(F.col("icd").alias("tgt"))
     links = relations.select("src", "tgt", "rel_type", "weight", "ord")
     edges = None
@@ -181,11 +185,11 @@ def subgraph(
             )
         )
         old = members.select(key, F.col("icd").alias("tgt"), F.lit(True).alias("old"))
-        steps = direct.unionByName(up).join(old, [key, "tgt"], "left")
+        steps = cut_lineage(direct.unionByName(up).join(old, [key, "tgt"], "left"))
         fresh = steps.filter(F.col("old").isNull()).groupBy(key, "tgt", "room")
         fresh = fresh.agg(F.min(F.struct("src", "o")).alias("first"))
         place = F.row_number().over(Window.partitionBy(key).orderBy("first"))
-        fresh = fresh.withColumn("place", place).filter(F.col("place") <= F.col("room"))
+        fresh = cut_lineage(fresh.withColumn("place", place).filter(F.col("place") <= F.col("room")))
         # the source that fills the last free place is the last one visited
         last = fresh.filter(F.col("place") == F.col("room")).select(key, F.col("first.src").alias("last_src"))
         steps = steps.join(fresh.select(key, "tgt", "place"), [key, "tgt"], "left").join(last, key, "left")
