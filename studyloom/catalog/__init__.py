@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("history", "texts", "studies", "labels", "metrics", "vectors", "diseases", "graphs")
+MODULES = ("history", "texts", "studies", "labels", "metrics", "vectors", "diseases", "graphs", "candidates")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
