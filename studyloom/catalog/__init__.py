@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("history", "texts", "studies", "labels", "metrics", "vectors", "diseases", "graphs", "candidates")
+MODULES = (
+    "history",
+    "texts",
+    "studies",
+    "labels",
+    "metrics",
+    "vectors",
+    "diseases",
+    "graphs",
+    "candidates",
+    "files",
+    "streams",
+)
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

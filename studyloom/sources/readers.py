@@ -1,15 +1,109 @@
-"""Readers for the tables, text files and vectors a study dataset is built from."""
+"""Readers for the tables, text files, graphs and vectors a study dataset is built from."""
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from .. import schemas
+from ..functions.ids import study_of_path
 
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
     """Repartitions only where the scan yields fewer tasks than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None, multiline: bool = False
+) -> DataFrame:
+    """CSV with header and an explicit schema; columns are found by name, unused ones are not parsed.
+
+    ``multiline`` is for files whose texts hold line breaks; such a file is one task.
+    """
+    header = spark.read.option("header", True).csv(path).columns if not multiline else None
+    reader = spark.read.option("header", True).option("escape", '"')
+    if header is None:
+        df = reader.option("multiLine", True).schema(schema).csv(path)
+        return df.select(*columns) if columns else df
+    types = dict(part.strip().split(" ", 1) for part in schema.split(","))
+    full = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header)
+    return reader.schema(full).csv(path).select(*(columns or types))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str = schemas.PREDICTION) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): parsed rows, and the text of lines that are no JSON. Blank lines are neither.
+
+    A field that holds an object where text is expected arrives as its JSON text.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    good = parsed.filter(F.col("r").isNotNull() & F.col("r._bad").isNull()).select("r.*").drop("_bad")
+    bad = parsed.filter(F.col("r").isNull() | F.col("r._bad").isNotNull()).select(F.col("value").alias("line"))
+    return good, bad
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """Part of a file path or URI below the folder ``root``."""
+    return F.substring_index(path, root.rstrip("/") + "/", -1)
+
+
+def read_text_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
+    """(path, text): one row per file below ``root``, path relative to it."""
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = reader.text(root).select("_metadata.file_path", "value")
+    return files.select(relative_path(F.col("file_path"), root).alias("path"), F.col("value").alias("text"))
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of every file below ``root``; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"))
+
+
+def read_report_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of ``{path: {entities: {...}}}`` objects, one object per file.
+
+    A JSON object cannot be split, so this is an ingest step: write the result as
+    Parquet once and read that afterwards. Keys without a study number are dropped.
+    """
+    objects = spark.read.option("wholetext", True).text(path)
+    graphs = objects.select(F.explode(F.from_json("value", schemas.REPORT_GRAPH)).alias("key", "graph"))
+    cases = graphs.select(study_of_path(F.col("key")).alias("case_id"), "graph.entities").filter("case_id is not null")
+    nodes = cases.select("case_id", F.posexplode("entities").alias("eid", "name", "e"))
+    entities = nodes.select("case_id", "eid", "name", F.col("e.tokens").alias("tokens"), F.col("e.label").alias("entity_type"))
+    links = nodes.select("case_id", "eid", F.posexplode("e.relations").alias("rel_ord", "r"))
+    targets = entities.select("case_id", F.col("eid").alias("target"), "name")
+    relations = links.withColumn("name", F.element_at("r", 2)).join(targets, ["case_id", "name"])
+    return entities, relations.select("case_id", "eid", "rel_ord", F.element_at("r", 1).alias("rel_type"), "target")
+
+
+def read_vectors(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
+    """(study_id, vec) from ``<study>.npy`` files; a leading axis of one is dropped, unreadable files too."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    vec = np.load(io.BytesIO(content), allow_pickle=False)
+                    if vec.ndim == 2:
+                        vec = vec.squeeze(0)
+                    rows.append((int(path.rsplit("/", 1)[-1].removesuffix(".npy")), vec.astype(np.float32)))
+                except ValueError:
+                    continue
+            yield pd.DataFrame(rows, columns=["study_id", "vec"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "content").mapInPandas(load, schemas.VECTOR)
+
+
+def parse_history(text: Column) -> Column:
+    """Nested history from its JSON text; null, '', '[]' and broken text give an empty array."""
+    return F.coalesce(F.from_json(text, schemas.HISTORY), F.array().cast(schemas.HISTORY))
