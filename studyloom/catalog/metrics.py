@@ -71,7 +71,8 @@ cider AS (SELECT pair_id, round(s / 4 * exp(-(d * d) / (2 * 6.0::DOUBLE * 6.0::D
 
 @query("cider", f"WITH {CIDER_SQL} SELECT * FROM cider")
 def cider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.cider(M.ngram_counts(token_pairs(spark, sf_dir), "pair_id"), "pair_id")
+    tokens = token_pairs(spark, sf_dir)
+    return M.cider(M.ngram_counts(tokens, "pair_id"), "pair_id", M.pair_total(tokens))
 
 
 def _lcs_sql(src: str) -> str:

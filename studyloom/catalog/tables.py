@@ -19,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, ref, hyp): a user turn and the assistant turn that answers it."""
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = spread_for_cpu(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     users = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("ref"))
     answers = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp")

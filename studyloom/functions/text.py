@@ -6,7 +6,7 @@ All functions map columns to columns with JVM expressions. Flags used throughout
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +19,11 @@ CASED = "(?dU)"
 _MARK, _END = "\u0001", "\u0002"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(text: Column) -> Column:
     """Every run of white space becomes one blank; ends trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -76,7 +81,6 @@ def sections(raw: Column, headers: Sequence[str] = P.SECTION_HEADERS) -> Column:
         ),
     )
 
-    # one named struct carries the array so that it is computed once
     def last(secs: Column, name: str) -> Column:
         same = F.filter(secs, lambda s: s["name"] == name)
         return F.try_element_at(same, F.lit(-1))["body"]
@@ -92,7 +96,7 @@ def sections(raw: Column, headers: Sequence[str] = P.SECTION_HEADERS) -> Column:
             F.size(secs) == 0, F.struct(raw.alias("findings"), F.lit("").alias("impression"))
         ).otherwise(split)
 
-    return F.transform(F.array(found), pick)[0]
+    return let(found, pick)
 
 
 def basic_clean(text: Column) -> Column:
@@ -140,32 +144,48 @@ def split_findings_impression(text: Column) -> Column:
     The split only starts where a header stands directly before its colon; the
     search that follows also accepts blanks between them.
     """
-    t = F.coalesce(text, F.lit(""))
-    low = F.lower(t)
     f_re, i_re = r"(?isU)\bfindings\s*:\s*", r"(?isU)\bimpression\s*:\s*"
-    f_head, i_head = (F.regexp_extract(t, f"({p})", 0) for p in (f_re, i_re))
-    f_at, i_at = F.regexp_instr(t, F.lit(f_re)), F.regexp_instr(t, F.lit(i_re))
-    f_end, i_end = f_at + F.length(f_head), i_at + F.length(i_head)
-    rest = F.length(t) + 1
-    impression = F.when(i_at > 0, strip(F.substring(t, i_end, rest))).otherwise("")
-    stop = F.when((i_at > 0) & (i_at > f_end), i_at).otherwise(rest)
-    findings = F.when(f_at > 0, strip(F.substring(t, f_end, stop - f_end))).otherwise("")
-    plain = ~(low.contains("findings:") | low.contains("impression:"))
-    return F.when(plain, F.struct(strip(t).alias("findings"), F.lit("").alias("impression"))).otherwise(
-        F.struct(findings.alias("findings"), impression.alias("impression"))
-    )
+    out = lambda f, i: F.struct(f.alias("findings"), i.alias("impression"))
+
+    def header(t: Column, pattern: str, name: str) -> list[Column]:
+        head = F.length(F.regexp_extract(t, f"({pattern})", 0))
+        return [F.regexp_instr(t, F.lit(pattern)).alias(f"{name}_at"), head.alias(f"{name}_len")]
+
+    def cut(h: Column) -> Column:
+        t, f_at, i_at = h["t"], h["f_at"], h["i_at"]
+        f_end, i_end, rest = f_at + h["f_len"], i_at + h["i_len"], F.length(t) + 1
+        impression = F.when(i_at > 0, strip(F.substring(t, i_end, rest))).otherwise("")
+        stop = F.when((i_at > 0) & (i_at > f_end), i_at).otherwise(rest)
+        findings = F.when(f_at > 0, strip(F.substring(t, f_end, stop - f_end))).otherwise("")
+        return out(findings, impression)
+
+    def split(t: Column) -> Column:
+        plain = ~F.lower(t).rlike("findings:|impression:")
+        headers = F.struct(t.alias("t"), *header(t, f_re, "f"), *header(t, i_re, "i"))
+        return F.when(plain, out(strip(t), F.lit(""))).otherwise(let(headers, cut))
+
+    return let(F.coalesce(text, F.lit("")), split)
 
 
 def dedup_findings_impression(findings: Column, impression: Column) -> Column:
     """One text of both; an impression that merely repeats the findings is dropped."""
-    f, i = strip(F.coalesce(findings, F.lit(""))), strip(F.coalesce(impression, F.lit("")))
 
     def norm(x: Column) -> Column:
         return squeeze(F.regexp_replace(F.lower(x), FLAGS + P.METRIC_HEADERS, " "))
 
-    nf, ni = norm(f), norm(i)
-    repeats = (nf == ni) | (ni.startswith(nf) & (F.length(ni) <= F.length(nf) + 10))
-    return F.when(f == "", i).when(i == "", f).when(repeats, f).otherwise(strip(F.concat_ws(" ", f, i)))
+    def repeats(n: Column) -> Column:
+        longer = F.length(n["i"]) <= F.length(n["f"]) + 10
+        return (n["f"] == n["i"]) | (n["i"].startswith(n["f"]) & longer)
+
+    def join(s: Column) -> Column:
+        f, i = s["f"], s["i"]
+        same = let(F.struct(norm(f).alias("f"), norm(i).alias("i")), repeats)
+        return F.when(f == "", i).when(i == "", f).when(same, f).otherwise(strip(F.concat_ws(" ", f, i)))
+
+    both = F.struct(
+        strip(F.coalesce(findings, F.lit(""))).alias("f"), strip(F.coalesce(impression, F.lit(""))).alias("i")
+    )
+    return let(both, join)
 
 
 def merge_report(text: Column, dedup: bool = True) -> Column:
@@ -176,14 +196,18 @@ def merge_report(text: Column, dedup: bool = True) -> Column:
             return dedup_findings_impression(f, i)
         return strip(F.concat_ws(" ", F.coalesce(f, F.lit("")), F.coalesce(i, F.lit(""))))
 
-    t = F.coalesce(text, F.lit(""))
-    obj = F.from_json(t, "map<string,string>")
-    cut = split_findings_impression(t)
-    plain = join(cut["findings"], cut["impression"])
-    is_object = t.rlike(r"^\s*\{") & obj.isNotNull()
-    return F.when(is_object, join(F.try_element_at(obj, F.lit("findings")), F.try_element_at(obj, F.lit("impression")))).otherwise(
-        F.when(plain == "", strip(t)).otherwise(plain)
-    )
+    def of_object(obj: Column) -> Column:
+        return join(F.try_element_at(obj, F.lit("findings")), F.try_element_at(obj, F.lit("impression")))
+
+    def of_text(t: Column) -> Column:
+        merged = let(split_findings_impression(t), lambda c: join(c["findings"], c["impression"]))
+        return let(merged, lambda m: F.when(m == "", strip(t)).otherwise(m))
+
+    def merge(t: Column) -> Column:
+        obj = F.when(t.rlike(r"^\s*\{"), F.from_json(t, "map<string,string>"))
+        return let(obj, lambda o: F.when(o.isNotNull(), of_object(o)).otherwise(of_text(t)))
+
+    return let(F.coalesce(text, F.lit("")), merge)
 
 
 def metric_clean(text: Column, drop_bare_commands: bool = True) -> Column:
@@ -220,7 +244,7 @@ def display_clean(text: Column, markers: Sequence[str] = P.DISPLAY_MARKERS) -> C
         head = F.upper(F.substring(x, 1, 8)) == "FINDINGS"
         return F.when(head & (colon > 0) & (colon <= 15), F.substring(x, colon + 1, F.length(x))).otherwise(x)
 
-    return squeeze(F.transform(F.array(t), behead)[0])
+    return squeeze(let(t, behead))
 
 
 def ascii_output(text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.text import ngrams
+from .scale import by_key
 
 # constants of the public BLEU scorer
 TINY, SMALL = 1e-15, 1e-9
@@ -32,7 +33,7 @@ def ngram_counts(pairs: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp",
         )
 
     grams = [tagged(c, n, h, r) for n in range(1, max_n + 1) for c, h, r in ((hyp, 1, 0), (ref, 0, 1))]
-    rows = pairs.repartition(key).select(key, F.explode(F.concat(*grams)).alias("g"))
+    rows = by_key(pairs, key).select(key, F.explode(F.concat(*grams)).alias("g"))
     return rows.groupBy(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
         F.sum("g.h").alias("h"), F.sum("g.r").alias("r")
     )
@@ -104,6 +105,10 @@ def corpus_mean(scores: DataFrame, col: str) -> DataFrame:
     return scores.agg(F.round(F.avg(col), 6).alias(col))
 
 
+def pair_total(pairs: DataFrame) -> Column:
+    return pairs.agg(F.count(F.lit(1))).scalar()
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     """References per n-gram; n-grams of one reference weigh the same as unseen ones and are left out."""
     return (
@@ -130,9 +135,11 @@ def with_frequency(counts: DataFrame, df: DataFrame, key: str, total: Column) ->
     return joined.select(*counts.columns, F.coalesce("df_heavy", "df", F.lit(1)).alias("df"))
 
 
-def cider(counts: DataFrame, key: str, max_n: int = 4, sigma: float = CIDER_SIGMA) -> DataFrame:
-    """CIDEr-D per pair from ``ngram_counts``, document frequency over the references."""
-    total = counts.select(key).distinct().agg(F.count(F.lit(1)).alias("total")).scalar()
+def cider(counts: DataFrame, key: str, total: Column, max_n: int = 4, sigma: float = CIDER_SIGMA) -> DataFrame:
+    """CIDEr-D per pair from ``ngram_counts``, document frequency over the references.
+
+    ``total`` is the number of pairs.
+    """
     rows = with_frequency(counts, document_frequency(counts), key, total)
     idf = F.ln(total.cast("double")) - F.ln(F.greatest(F.col("df"), F.lit(1)).cast("double"))
     h, r = F.col("h") * F.col("idf"), F.col("r") * F.col("idf")

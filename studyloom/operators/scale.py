@@ -21,6 +21,16 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions by key into ``spark.sql.shuffle.partitions`` tasks.
+
+    The explicit number keeps adaptive execution from merging small partitions:
+    for rows that are cheap to move and costly to process.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """First ``k`` rows of every key.
 

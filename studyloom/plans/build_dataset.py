@@ -45,8 +45,13 @@ def studies_with_images(src: Inputs, prefixes: Sequence[str] | None = None) -> D
 
 
 def admissions_with_details(src: Inputs) -> DataFrame:
-    """Admissions with their first 15 diagnoses and the severity group."""
-    titles = S.unique_titles(src.icd_title.withColumn("ord", F.monotonically_increasing_id()), "icd_code", "long_title", ["ord"])
+    """Admissions with their first 15 diagnoses and the severity group.
+
+    Of duplicate titles the last counts: by an ``ord`` column if the dictionary
+    has one, else by the text, never by the position of a row in a partition.
+    """
+    last = "ord" if "ord" in src.icd_title.columns else "long_title"
+    titles = S.unique_titles(src.icd_title, "icd_code", "long_title", [last])
     named = S.with_title(src.diagnosis.select("hadm_id", "seq_num", "icd_code"), titles, "icd_code", "long_title")
     lists = H.admission_diagnoses(
         named,

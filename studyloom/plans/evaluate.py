@@ -67,7 +67,7 @@ def evaluate(
     counts = M.ngram_counts(pairs, key)
     bleu = M.corpus_bleu(counts).select(F.struct("*")).scalar()
     rouge = M.corpus_mean(M.rouge_l(pairs, key), "rouge_l").scalar()
-    cider = M.corpus_mean(M.cider(counts, key), "cider").scalar()
+    cider = M.corpus_mean(M.cider(counts, key, M.pair_total(base)), "cider").scalar()
     graph = M.corpus_mean(M.graph_f1(pairs, key, "ref", "hyp"), "graph_f1").scalar()
     prf = L.micro_prf(label_pairs(base, key, keywords)).select(F.struct("*")).scalar()
     row = predictions.sparkSession.range(1).select(
