@@ -56,8 +56,8 @@ def relative_path(path: Column, root: str) -> Column:
 
 def read_text_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """(path, text): one row per file below ``root``, path relative to it."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    files = reader.text(root).select("_metadata.file_path", "value")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = reader.text(root, wholetext=True).select("_metadata.file_path", "value")
     return files.select(relative_path(F.col("file_path"), root).alias("path"), F.col("value").alias("text"))
 
 
@@ -73,7 +73,7 @@ def read_report_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     A JSON object cannot be split, so this is an ingest step: write the result as
     Parquet once and read that afterwards. Keys without a study number are dropped.
     """
-    objects = spark.read.option("wholetext", True).text(path)
+    objects = spark.read.text(path, wholetext=True)
     graphs = objects.select(F.explode(F.from_json("value", schemas.REPORT_GRAPH)).alias("key", "graph"))
     cases = graphs.select(study_of_path(F.col("key")).alias("case_id"), "graph.entities").filter("case_id is not null")
     nodes = cases.select("case_id", F.posexplode("entities").alias("eid", "name", "e"))
