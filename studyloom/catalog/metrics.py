@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics as M
+from ..session import cut_lineage
 from . import query
 from .tables import PAIRS_SQL, pairs
 from .texts import metric_sql
@@ -71,7 +72,7 @@ cider AS (SELECT pair_id, round(s / 4 * exp(-(d * d) / (2 * 6.0::DOUBLE * 6.0::D
 
 @query("cider", f"WITH {CIDER_SQL} SELECT * FROM cider")
 def cider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = token_pairs(spark, sf_dir)
+    tokens = cut_lineage(token_pairs(spark, sf_dir))  # read for counts, frequencies and total
     return M.cider(M.ngram_counts(tokens, "pair_id"), "pair_id", M.pair_total(tokens))
 
 
