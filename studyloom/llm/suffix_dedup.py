@@ -173,13 +173,14 @@ def _spans(lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     return start[first], reach[np.append(first[1:] - 1, len(start) - 1)]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows of (k1, k2, text as bytes); the keys name a row by its id and whole text."""
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows of (k1, k2, text as bytes, more); the keys name a row by its id and whole text."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k1"),
         F.xxhash64(text, F.col("doc_id").isNull()).alias("k2"),
         text.alias("text"),
+        *more,
     )
 
 
@@ -256,7 +257,7 @@ def repeated_windows(docs: DataFrame, length: int = 400) -> DataFrame:
 
     A window is repeated if its ``length`` bytes also start elsewhere in the table, in the same row or another.
     """
-    rows = _keyed(docs)
+    rows = keyed(docs)
     runs = cut_lineage(_runs(rows, length), "runs")
     place = F.struct("k1", "k2", "lo", "n", "anchor").alias("first")
     strings = runs.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(place).alias("first"))
