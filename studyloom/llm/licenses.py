@@ -65,8 +65,8 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 #: Licenses without versions and notices: label, keyword, pattern.
 PLAIN = (
-    Rule("mit", "mit", "(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit licen[cs]e"),
-    Rule("mit", "mit", "(?:the )?mit licen[cs]e"),
+    Rule("mit", "license", "(?:(?:released|licensed|distributed|available) under )?(?:the )?(?:terms of the )?mit license"),
+    Rule("mit", "licence", "(?:(?:released|licensed|distributed|available) under )?(?:the )?(?:terms of the )?mit licence"),
     Rule("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
     Rule("bsd-2-clause", "bsd", "(?:simplified bsd licen[cs]e|(?:bsd 2|2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause)"),
     Rule("bsd-3-clause", "bsd", "(?:(?:new|modified|revised) bsd licen[cs]e|(?:3|three) clause bsd(?: licen[cs]e)?|bsd 3 clause)"),
@@ -152,16 +152,20 @@ def _places(words: Column, rule: Column) -> Column:
     return F.when(F.size(hits) > 0, found).otherwise(start["out"])
 
 
-def _table(found: list[Rule]) -> Column:
-    rows = [F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(i).alias("priority")) for i, r in enumerate(found)]
-    return F.array(*rows)
+def _table(found: list[Rule], numbers: list[int]) -> Column:
+    """The rules of these numbers, which are their priorities."""
+    row = lambda i: F.struct(F.lit(found[i].label).alias("label"), F.lit(found[i].pattern).alias("pattern"), F.lit(i).alias("priority"))
+    return F.array(*map(row, numbers))
 
 
 def _detections(words: Column, found: list[Rule]) -> Column:
     """Detections of the rules whose keyword is a word of the text, by start, longest first, then by priority."""
-    keywords = sorted({r.keyword for r in found})
-    present = F.array_intersect(F.split(F.trim(words), " "), F.array(*map(F.lit, keywords)))
-    wanted = F.filter(_table(found), lambda r: F.array_contains(present, r["keyword"]))
+    by_keyword: dict[str, list[int]] = {}
+    for i, rule in enumerate(found):
+        by_keyword.setdefault(rule.keyword, []).append(i)
+    present = F.array_intersect(F.split(F.trim(words), " "), F.array(*map(F.lit, sorted(by_keyword))))
+    known = F.create_map(*[x for k, own in sorted(by_keyword.items()) for x in (F.lit(k), _table(found, own))])
+    wanted = F.flatten(F.transform(present, lambda k: F.element_at(known, k)))
     return F.flatten(F.transform(wanted, lambda r: _places(words, r)))
 
 
@@ -197,7 +201,7 @@ def scan_licenses(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame
     rows = docs.select(*kept, _words(F.col("text")).alias("__words"))
     rows = rows.withColumn("__open", F.col("__words").rlike(f" (?:{gate}) "))
     words = F.col("__words")
-    base = F.flatten(F.transform(_table(list(BASE)), lambda r: _places(words, r)))
+    base = F.flatten(F.transform(_table(list(BASE), list(range(len(BASE)))), lambda r: _places(words, r)))
     return rows.select(
         *kept,
         F.greatest(F.lit(0), _blanks(words) - 1).cast("long").alias("n_words"),
