@@ -186,7 +186,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(found.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["sid", "set"])
 
-    return keyed(docs).join(wanted, ["k1", "k2"]).select("sid", "text").mapInArrow(run, "sid long, set array<long>").dropDuplicates(["sid"])
+    # merged at every size: the wanted rows grow with the table, so they are never broadcast
+    return keyed(docs).join(wanted.hint("merge"), ["k1", "k2"]).select("sid", "text").mapInArrow(run, "sid long, set array<long>").dropDuplicates(["sid"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
