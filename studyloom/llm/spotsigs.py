@@ -10,6 +10,7 @@ similarity are in the same or in neighbouring bands.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ def _words(text: Column) -> Column:
     return F.concat(F.lit(" "), spaced, F.lit(" "))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spots(text: Column, chain: int = CHAIN, anchors: str = ANCHORS) -> Column:
     """Sorted distinct 32-bit hashes of a text's spot signatures.
 
@@ -37,13 +43,27 @@ def spots(text: Column, chain: int = CHAIN, anchors: str = ANCHORS) -> Column:
     none.
     """
     common = "|".join(sorted(set(anchors.split()), key=lambda w: (w[0], -len(w), w)))
-    words = _words(text)
-    content = rf"(?:(?:{common}) )*(?!(?:{common}) )[^ ]+ "
-    found = F.regexp_extract_all(words, F.lit(rf"(?<= )(?=((?:{common}) (?:{content}){{{chain}}}))[^ ]"), F.lit(1))
-    # between the anchor and its content words only these count
-    short = F.transform(found, lambda s: F.hash(F.regexp_replace(s, rf"(?<= )(?:(?:{common}) )+", "")))
-    whole = F.when(F.trim(words) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(words)))
-    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, short).otherwise(whole)))
+    content = lambda t: F.substring_index(t, "_", -1)
+    def signatures(z: Column) -> Column:
+        parts = F.split(z["t0"], "_")
+        heads = F.array_distinct(F.slice(parts, 1, F.size(parts) - 1))
+        after = [content(z[f"t{i}"]) for i in range(chain)]
+        complete = F.contains(z["t0"], F.lit("_"))
+        for word in after:
+            complete = complete & (F.coalesce(word, F.lit("")) != "")
+        return F.when(complete, F.transform(heads, lambda h: F.hash(h, *after))).otherwise(F.array().cast("array<int>"))
+
+    def of_tokens(tokens: Column) -> Column:
+        following = [F.slice(tokens, i + 1, F.size(tokens)).alias(f"t{i}") for i in range(1, chain)]
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(F.arrays_zip(tokens.alias("t0"), *following), signatures))))
+
+    def of_words(words: Column) -> Column:
+        # every common word is glued to the word after it: "the house of a cat" is [the_house, of_a_cat]
+        tokens = F.split(F.trim(F.regexp_replace(words, rf"(?<= )({common}) ", "$1_")), " ")
+        whole = F.when(F.trim(words) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(words)))
+        return _let(_let(tokens, of_tokens), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+
+    return _let(_words(text), of_words)
 
 
 def fingerprint(found: Column) -> Column:
