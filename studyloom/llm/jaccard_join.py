@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct word shingles; equal sets are one vertex. Tokens are hashed into
 groups twice. A fine grouping decides which sets have to meet: for sets of a size class, a similarity of
 ``percent`` leaves room for at most D differing shingles, so of D + 1 groups at least one is equal in both sets
-(pigeonhole), and (size class, group, hash of the group's tokens) is a join key that loses no link. A coarse
+(pigeonhole; some groups more are made, so that empty groups need not count), and (size class, group, hash of the group's tokens) is a join key that loses no link. A coarse
 grouping gives every set a point of ``GROUPS`` counts. Sets that share a key are looked up in an R-tree over these
 points: the sum of the coordinate minima of two points - or of a point and the upper corner of a box - bounds their
 overlap from above, boxes and points below the needed overlap are pruned, and surviving pairs are verified on the
@@ -95,12 +95,15 @@ def keys_of(found: np.ndarray, percent: int) -> np.ndarray:
             room = 2 * bounds[level] - 2 * int(needed(bounds[level], bounds[level], percent)) + 1
             if room <= 1 and bounds[level] * (100 - percent) < 100:
                 continue  # only equal sets link
-            groups = room + 1
+            groups = room + 2 + room // 10
             group = (found >> np.uint64(17)) % np.uint64(groups)
             sums = np.zeros(groups, np.uint64)
             np.add.at(sums, group.astype(np.int64), spread)
             label = np.uint64(level) * np.uint64(1 << 32) + np.arange(groups, dtype=np.uint64)
-            out.append(mix(sums * _A + mix(label)))
+            keys = mix(sums * _A + mix(label))
+            filled = np.bincount(group.astype(np.int64), minlength=groups) > 0
+            # groups - room groups are equal in two linked sets: unless that many can be empty, one with tokens is
+            out.append(keys[filled] if np.count_nonzero(~filled) < groups - room else keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
