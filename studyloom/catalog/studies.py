@@ -95,20 +95,21 @@ def views_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "first_image_exists",
     f"""WITH {_VIEWS_CTE},
-known AS (SELECT DISTINCT strftime(l_shipdate, '%Y%m%d') || '/' || l_linenumber || '/' || l_partkey || '.jpg' AS path
-          FROM lineitem WHERE l_linestatus = 'F')
+known AS (SELECT DISTINCT strftime(l_shipdate, '%Y%m%d') || '/' || l_linenumber || '/' || l_partkey ||
+          CASE WHEN l_linestatus = 'F' THEN '.jpg' ELSE '.png' END AS path FROM lineitem)
 SELECT study_id, replace(path, '.dcm', '.jpg') AS first_path FROM ord
 WHERE i = 1 AND replace(path, '.dcm', '.jpg') IN (SELECT path FROM known)
   AND study_id IN (SELECT o_orderkey FROM orders)""",
 )
 def first_image_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "F")
+    lines = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_linestatus") == "F", ".jpg").otherwise(".png")
     known = lines.select(
         F.concat_ws(
             "/",
             F.date_format("l_shipdate", "yyyyMMdd"),
             F.col("l_linenumber").cast("string"),
-            F.concat(F.col("l_partkey").cast("string"), F.lit(".jpg")),
+            F.concat(F.col("l_partkey").cast("string"), kind),
         ).alias("path")
     )
     kept = S.first_image_exists(_study_images(spark, sf_dir), known, "images", "path", ids.image_path)
@@ -118,16 +119,17 @@ def first_image_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "icd_title_join",
     """
-WITH dict AS (SELECT p_brand AS icd_code, p_name AS title, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS back
-              FROM part WHERE p_brand <> 'Brand#7')
+WITH dict AS (SELECT icd_code, title, row_number() OVER (PARTITION BY icd_code ORDER BY p_partkey DESC) AS back
+              FROM (SELECT CASE WHEN p_brand = 'Brand#7' THEN 'old' ELSE p_brand END AS icd_code, p_name AS title, p_partkey FROM part))
 SELECT l_orderkey AS hadm_id, l_linenumber AS seq_num, p_brand AS icd_code, coalesce(title, 'Unknown') AS description, count(*) AS n
 FROM lineitem JOIN part ON p_partkey = l_partkey
 LEFT JOIN dict ON dict.icd_code = p_brand AND back = 1 GROUP BY 1, 2, 3, 4""",
 )
 def icd_title_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
-    dictionary = parts.filter(F.col("p_brand") != "Brand#7").select(
-        "p_partkey", F.col("p_brand").alias("icd_code"), F.col("p_name").alias("description")
+    code = F.when(F.col("p_brand") == "Brand#7", "old").otherwise(F.col("p_brand"))  # a code without a title
+    dictionary = parts.select(
+        "p_partkey", code.alias("icd_code"), F.col("p_name").alias("description")
     )
     titles = S.unique_titles(dictionary, "icd_code", "description", ["p_partkey"])
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
@@ -346,7 +348,7 @@ SELECT d.doc_id AS study_id, len(e.embedding) AS length, CAST(coalesce(l.quality
   CAST(coalesce(l.toxic, 0) AS DOUBLE) AS toxic, coalesce(h.t, '') AS history_text,
   length(CASE WHEN length(d.source) < 5 THEN d.text ELSE d.source END) AS report_chars
 FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
-LEFT JOIN (SELECT o_orderkey, o_orderpriority AS t FROM orders WHERE o_orderstatus = 'F') h ON h.o_orderkey = d.doc_id""",
+LEFT JOIN (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS t FROM orders) h ON h.o_orderkey = d.doc_id""",
 )
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import text_or_fallback
@@ -361,6 +363,6 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("study_id"), *[F.col(c).cast("double").alias(c) for c in ("quality", "toxic")]
     )
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
-    history = orders.select(F.col("o_orderkey").alias("study_id"), F.col("o_orderpriority").alias("history_text"))
+    told = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    history = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("study_id"), told.alias("history_text"))
     return S.training_table(studies, vectors, labels, history, "study_id", ["quality", "toxic"])

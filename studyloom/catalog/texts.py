@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import patterns as P
+from ..conf.keywords import DIAGNOSIS_RULES_PATCH, DIAGNOSIS_RULES_POOLED
 from ..functions import text as T
 from ..operators import findings as FD
 from ..operators import reports as R
@@ -428,6 +429,32 @@ def priority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.rule_label(F.col("text"), rules).alias("label"))
 
 
+def _rule_sql(rules, blank: str) -> str:
+    cases = " ".join(
+        "WHEN {} THEN '{}'".format(" OR ".join(f"contains(lower(text), '{w}')" for w in words), label) for label, words in rules
+    )
+    return (
+        f"SELECT doc_id, CASE WHEN {strip_sql('text')} = '' THEN '{blank}' {cases} ELSE 'Other' END AS label "
+        "FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS text FROM documents)"
+    )
+
+
+def _diagnosed(spark: SparkSession, sf_dir: str, rules, blank: str | None) -> DataFrame:
+    """Every eleventh text is blank."""
+    text = F.when(F.col("doc_id") % 11 == 0, " ").otherwise(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", T.rule_label(text, rules, blank=blank).alias("label"))
+
+
+@query("diagnosis_patch", _rule_sql(DIAGNOSIS_RULES_PATCH, "Unknown"))
+def diagnosis_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diagnosed(spark, sf_dir, DIAGNOSIS_RULES_PATCH, "Unknown")
+
+
+@query("diagnosis_pooled", _rule_sql(DIAGNOSIS_RULES_POOLED, "Other"))
+def diagnosis_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diagnosed(spark, sf_dir, DIAGNOSIS_RULES_POOLED, None)
+
+
 @query(
     "keyword_labels",
     f"""WITH k(ord, keyword, finding) AS (VALUES {_KEYWORD_ROWS})

@@ -290,11 +290,15 @@ def ngrams(toks: Column, n: int) -> Column:
     return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
-def rule_label(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str = "Other") -> Column:
-    """Label of the first rule one of whose words occurs in the lower-cased text."""
+def rule_label(
+    text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str = "Other", blank: str | None = None
+) -> Column:
+    """Label of the first rule one of whose words occurs in the lower-cased text.
+
+    Null and blank texts get ``blank`` if one is given, else ``default``.
+    """
     low = F.lower(text)
-    out = None
+    out = F.when(F.coalesce(strip(text), F.lit("")) == "", default if blank is None else blank)
     for label, words in rules:
-        hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-        out = F.when(hit, label) if out is None else out.when(hit, label)
+        out = out.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), label)
     return out.otherwise(default)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,14 @@ def view_weight(view: Column, weights: Mapping[str, float] = VIEW_WEIGHTS, defau
 def pooled(rows: DataFrame, keys: Sequence[str], vec: str, weight: Column | None = None) -> DataFrame:
     """Weighted mean vector per key (weights scaled to sum 1; plain mean without weights).
 
-    Rows are summed per (key, position) with map-side combine, so a key's vectors
-    are never brought together.
+    Vectors are summed as a whole with map-side combine, so a key's vectors are
+    never brought together. Rows without a vector are left out; the vectors of a
+    key have one length.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    long = rows.select(*keys, w.alias("__w"), F.posexplode(F.col(vec)).alias("__i", "__x"))
-    sums = long.groupBy(*keys, "__i").agg(
-        (F.sum(F.col("__w") * F.col("__x").cast("double")) / F.sum("__w")).alias("__v")
-    )
-    return sums.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda s: s["__v"]).alias(vec)
-    )
+    whole = array_to_vector(F.col(vec).cast("array<double>"))
+    kept = rows.filter(F.col(vec).isNotNull()).select(*keys, w.alias("__w"), whole.alias("__x"))
+    return kept.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("__x"), F.col("__w"))).alias(vec))
 
 
 def integrity(rows: DataFrame, vec: str, expected_dim: Column, expected_rows: Column | None = None, n_rows: Column | None = None) -> DataFrame:

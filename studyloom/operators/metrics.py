@@ -15,13 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.text import ngrams
-from ..session import cut_lineage
 from .scale import by_key
 
 # constants of the public BLEU scorer
 TINY, SMALL = 1e-15, 1e-9
-HEAVY_SHARE = 0.01
-MAX_BROADCAST_ROWS = 200_000
 CIDER_SIGMA = 6.0
 
 
@@ -118,31 +115,13 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     )
 
 
-def _exceeds(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() > rows
-
-
-def with_frequency(counts: DataFrame, df: DataFrame, key: str, total: Column) -> DataFrame:
+def with_frequency(counts: DataFrame, df: DataFrame) -> DataFrame:
     """Adds ``df`` to every n-gram row (1 where absent).
 
-    N-grams in more than ``HEAVY_SHARE`` of the references are broadcast once
-    their number is checked; where they are too many the share is raised until
-    they fit. The rest is joined by shuffle, with the already matched rows spread
-    by their id.
+    One join for all n-grams and sizes; the partitions of frequent n-grams are left to adaptive skew splitting,
+    which a left join allows on its long side.
     """
-    share = HEAVY_SHARE
-    while share < 1 and _exceeds(df.filter(F.col("df") > total * share), MAX_BROADCAST_ROWS):
-        share *= 4
-    limit = total * share
-    heavy = F.broadcast(df.filter(F.col("df") > limit).withColumnRenamed("df", "df_heavy"))
-    light = df.filter(F.col("df") <= limit).select(F.col("n").alias("n2"), F.col("gram").alias("gram2"), "df")
-    rows = counts.join(heavy, ["n", "gram"], "left")
-    probe = F.when(F.col("df_heavy").isNull(), F.col("gram")).otherwise(
-        F.concat(F.lit("\u0000"), F.col(key).cast("string"))
-    )
-    rows = rows.withColumn("probe", probe)
-    joined = rows.join(light, (F.col("n") == F.col("n2")) & (F.col("probe") == F.col("gram2")), "left")
-    return joined.select(*counts.columns, F.coalesce("df_heavy", "df", F.lit(1)).alias("df"))
+    return counts.join(df, ["n", "gram"], "left").select(*counts.columns, F.coalesce("df", F.lit(1)).alias("df"))
 
 
 def cider(counts: DataFrame, key: str, total: Column, max_n: int = 4, sigma: float = CIDER_SIGMA) -> DataFrame:
@@ -150,7 +129,7 @@ def cider(counts: DataFrame, key: str, total: Column, max_n: int = 4, sigma: flo
 
     ``total`` is the number of pairs.
     """
-    rows = with_frequency(counts, cut_lineage(document_frequency(counts)), key, total)
+    rows = with_frequency(counts, document_frequency(counts))
     idf = F.ln(total.cast("double")) - F.ln(F.greatest(F.col("df"), F.lit(1)).cast("double"))
     h, r = F.col("h") * F.col("idf"), F.col("r") * F.col("idf")
     per_n = (

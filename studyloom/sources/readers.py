@@ -96,7 +96,7 @@ def read_vectors(spark: SparkSession, root: str, pattern: str = "*.npy") -> Data
                     if vec.ndim == 2:
                         vec = vec.squeeze(0)
                     rows.append((int(path.rsplit("/", 1)[-1].removesuffix(".npy")), vec.astype(np.float32)))
-                except ValueError:
+                except (ValueError, EOFError):
                     continue
             yield pd.DataFrame(rows, columns=["study_id", "vec"])
 

@@ -55,7 +55,7 @@ def test_cider_heavy_ngrams_match_plain_join(spark):
         for n in range(1, 5):
             for g in {" ".join(toks[i : i + n]) for i in range(len(toks) - n + 1)}:
                 freq[n, g] = freq.get((n, g), 0) + 1
-    got = M.with_frequency(counts, M.document_frequency(counts), "id", M.pair_total(p)).collect()
+    got = M.with_frequency(counts, M.document_frequency(counts)).collect()
     assert len(got) == counts.count()
     assert all(r["df"] == max(1, freq.get((r["n"], r["gram"]), 1)) for r in got)
     assert M.corpus_mean(M.cider(counts, "id", M.pair_total(p)), "cider").first()[0] > 0
