@@ -1,13 +1,16 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document's set holds the hashes of its distinct word shingles; equal sets are one vertex. Tokens are hashed into
-groups twice. A fine grouping decides which sets have to meet: for sets of a size class, a similarity of
-``percent`` leaves room for at most D differing shingles, so of D + 1 groups at least one is equal in both sets
-(pigeonhole; some groups more are made, so that empty groups need not count), and (size class, group, hash of the group's tokens) is a join key that loses no link. A coarse
-grouping gives every set a point of ``GROUPS`` counts. Sets that share a key are looked up in an R-tree over these
-points: the sum of the coordinate minima of two points - or of a point and the upper corner of a box - bounds their
-overlap from above, boxes and points below the needed overlap are pruned, and surviving pairs are verified on the
-sets themselves.
+A document's set holds the hashes of its distinct word shingles; equal sets are one vertex. All shingles have one
+common order, rare ones first, and a set's join keys are its first shingles in it: two sets that link share so many
+shingles that at least one of the shared ones is among the first few of both (prefix filter), whatever the order
+is. Tokens are also hashed into groups, which gives every set a point of ``GROUPS`` counts. Sets that share a key
+are looked up in an R-tree over these points: the sum of the coordinate minima of two points - or of a point and
+the upper corner of a box - bounds their overlap from above, boxes and points below the needed overlap are pruned,
+and surviving pairs are verified on the sets themselves.
+
+The order comes from counts of all shingles of all texts in ``2 ** order_bits`` hashed cells, a table of fixed size:
+shingles that share a cell share a count, which moves some keys and loses no link. It keeps lines and passages that
+many documents share out of the keys.
 
 Families of near copies share many keys, so not all pairs are made. First every key's members are compared with
 the one member that shares most keys, as the original of a family does. Only members that are then still in
@@ -17,6 +20,7 @@ blocks meet pairwise in tasks of their own.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +35,9 @@ from studyloom.session import cut_lineage
 GROUPS = 64
 LEAF = 16
 BLOCK_MEMBERS = 2048
-CLASS_RATIO = 1.25
-_A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
+ORDER_BITS = 22
+CELL_BLOCK = 1 << 16
+_A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,40 +76,21 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def size_classes(largest: int, percent: int) -> list[int]:
-    """Upper bounds of the size classes up to one that holds ``largest``."""
-    bounds = [1]
-    while bounds[-1] < largest:
-        least = -((-100 * bounds[-1]) // percent)  # so that sets two classes apart never link
-        bounds.append(max(bounds[-1] + 1, least, int(bounds[-1] * CLASS_RATIO)))
-    return bounds
+def prefix_length(n: int, percent: int) -> int:
+    """How many of a set's n shingles, in the common order, are join keys; 0 if only an equal set can link.
 
+    Of two linked sets of a <= b shingles the smaller misses at most a - needed(a, a) of the shared ones, the larger
+    at most b - needed(least a, b); one more than the larger number is enough for every set in either role.
+    """
+    if 100 * n < percent * (n + 1):
+        return 0
+    least = -((-percent * n) // 100)
+    return n - int(needed(least, n, percent)) + 1
 
-def keys_of(found: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of one set: of its own size class, and of the next one if a set there can link to it."""
-    n = len(found)
-    bounds = size_classes(max(n + 1, 100 * n // percent), percent)
-    own = int(np.searchsorted(bounds, n))
-    out = []
-    with np.errstate(over="ignore"):
-        spread = mix(found + _C)
-        for level in (own, own + 1):
-            if level >= len(bounds) or (level > own and 100 * n < percent * (bounds[own] + 1)):
-                continue
-            # sets of sizes a <= b <= bound that link differ in a + b - 2 * overlap shingles
-            room = 2 * bounds[level] - 2 * int(needed(bounds[level], bounds[level], percent)) + 1
-            if room <= 1 and bounds[level] * (100 - percent) < 100:
-                continue  # only equal sets link
-            groups = room + 2 + room // 10
-            group = (found >> np.uint64(17)) % np.uint64(groups)
-            sums = np.zeros(groups, np.uint64)
-            np.add.at(sums, group.astype(np.int64), spread)
-            label = np.uint64(level) * np.uint64(1 << 32) + np.arange(groups, dtype=np.uint64)
-            keys = mix(sums * _A + mix(label))
-            filled = np.bincount(group.astype(np.int64), minlength=groups) > 0
-            # groups - room groups are equal in two linked sets: unless that many can be empty, one with tokens is
-            out.append(keys[filled] if np.count_nonzero(~filled) < groups - room else keys)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+def keys_of(found: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """Join keys of one set: its rarest shingles by ``count``, ties by hash."""
+    return found[np.lexsort((found, count))[: prefix_length(len(found), percent)]]
 
 
 def point_of(found: np.ndarray) -> np.ndarray:
@@ -155,15 +141,54 @@ class CountTree:
         return out
 
 
-def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def shingle_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
+    """In how many rows the shingles of every one of ``2 ** bits`` hash cells occur, at most 65,535.
+
+    Cells are added up task by task, then block by block over a shuffle; ``bits`` alone bounds what comes back.
+    """
+    cells = 1 << bits
+    block = min(cells, CELL_BLOCK)
+
+    def batch(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts), (pa.int32(), pa.binary()))], ["block", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(cells, np.uint32)
+        for _, data, offsets in chunks(batches):
+            np.add.at(own, (shingle_sets(data, offsets, size)[0] >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        for i in range(0, cells, block):
+            if (part := own[i : i + block]).any():
+                yield batch([(i // block, zlib.compress(part.tobytes(), 1))])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for rows in batches:
+            for i, data in zip(*(c.to_pylist() for c in rows.columns)):
+                part = np.frombuffer(zlib.decompress(data), np.uint32).astype(np.uint64)
+                sums[i] = sums[i] + part if i in sums else part
+        for i, part in sums.items():
+            yield batch([(i, zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1))])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = keyed(docs).mapInArrow(count, "block int, data binary").repartition(parts, "block").mapInArrow(add, "block int, data binary")
+    out = np.zeros(cells, np.uint16)
+    for rows in summed.toArrow().to_batches():  # at most the table's own size
+        for i, data in zip(*(c.to_pylist() for c in rows.columns)):
+            out[i * block : (i + 1) * block] = np.frombuffer(zlib.decompress(data), np.uint16)
+    return out
+
+
+def _described(docs: DataFrame, size: int, percent: int, order_bits: int) -> DataFrame:
     """k1, k2, doc_id, sid (null for an empty set), n, point and join keys of every row."""
     names = ["k1", "k2", "doc_id", "sid", "n", "point", "keys"]
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, size, order_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
             found, cuts = shingle_sets(data, offsets, size)
             sids: list[int | None] = []
             points, keys = [], []
+            count = counts.value[(found >> np.uint64(64 - order_bits)).astype(np.int64)]
             with np.errstate(over="ignore"):
                 spread = mix(found ^ _B)
                 for a, b in zip(cuts[:-1], cuts[1:]):
@@ -171,7 +196,7 @@ def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     name = mix(np.array([spread[a:b].sum() * _A + np.uint64(b - a)])).view(np.int64)[0]
                     sids.append(int(name) if b > a else None)
                     points.append(point_of(own).tobytes())
-                    keys.append(keys_of(own, percent).view(np.int64))
+                    keys.append(keys_of(own, count[a:b], percent).view(np.int64))
             columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(sids, pa.int64()), pa.array(np.diff(cuts), pa.int64())]
             columns += [pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -266,16 +291,17 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+def linked(docs: DataFrame, size: int = 3, percent: int = 90, order_bits: int = ORDER_BITS) -> DataFrame:
     """k1, k2, doc_id, n_shingles, component_id of every row.
 
     Words are runs of characters other than ASCII white space, with A-Z lower-cased; a set holds the distinct runs
     of ``size`` words, a shorter text is one shingle, and null, empty and blank texts have an empty set that links
     with nothing. Sets link when 100 * intersection >= ``percent`` * union. ``component_id`` is the smallest doc_id
     that links reach (null if all are null); repeated rows and equal texts are in one component. An empty table
-    gives an empty result; other input columns are not read.
+    gives an empty result; other input columns are not read. ``order_bits`` sizes the table that orders shingles and
+    changes no result.
     """
-    rows = cut_lineage(_described(docs, size, percent), "sets")
+    rows = cut_lineage(_described(docs, size, percent, order_bits), "sets")
     known = rows.filter("n > 0").select("sid", F.explode("keys").alias("key"))
     shared = known.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("key")
     members = cut_lineage(known.join(shared, "key").distinct(), "members")
