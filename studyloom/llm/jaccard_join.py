@@ -214,17 +214,37 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(found.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["sid", "set"])
 
-    # merged at every size: the wanted rows grow with the table, so they are never broadcast
-    return keyed(docs).join(wanted.hint("merge"), ["k1", "k2"]).select("sid", "text").mapInArrow(run, "sid long, set array<long>").dropDuplicates(["sid"])
+    # merged at every size: the wanted rows grow with the table, so they are never broadcast; repeated rows lie together
+    found = keyed(docs).join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return found.select("sid", "text").mapInArrow(run, "sid long, set array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _possible(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that neither set sizes nor points rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS) for i in (4, 5))
+            bound = np.minimum(a, b).sum(1, dtype=np.int64)
+            fits = bound >= needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(fits)) for i in (0, 1)], ["a", "b"])
+
+    one, two = (vertices.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}")) for s in "ab")
+    near = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link; only the sets of these pairs are made."""
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = vertices.select("sid", "k1", "k2").join(ends, "sid", "left_semi")
+    sets = cut_lineage(_sets(docs, wanted, size), "shingles")
     one = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("sid").alias("b"), F.col("set").alias("sb"))
     overlap = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - overlap
-    return pairs.join(one, "a").join(two, "b").filter(100 * overlap.cast("long") >= percent * union.cast("long")).select("a", "b")
+    linked = pairs.join(one, "a").join(two, "b").filter(100 * overlap.cast("long") >= percent * union.cast("long"))
+    return cut_lineage(linked.select("a", "b"), "links")
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,20 +328,21 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90, order_bits: int =
     degree = members.groupBy("sid").agg(F.count("*").alias("degree"))
     vertices = rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("k1", "k2", "n", "point")).alias("at")).join(degree, "sid")
     vertices = cut_lineage(vertices.select("sid", "degree", "at.*"), "vertices")
-    sets = cut_lineage(_sets(docs, vertices.select("sid", "k1", "k2"), size), "shingles")
     center = members.join(vertices.select("sid", "degree"), "sid").groupBy("key").agg(F.max(F.struct("degree", "sid"))["sid"].alias("center"))
     stars = members.join(center, "key").filter("sid <> center").select(*_ordered("sid", "center")).distinct()
     stars = cut_lineage(stars, "stars")
-    links = cut_lineage(_verified(stars, sets, percent), "links")
+    possible = cut_lineage(_possible(stars, vertices, percent), "pairs")
+    links = _verified(docs, possible, vertices, size, percent)
     comp = components(vertices, links)
     placed = members.join(comp, "sid")
     unsettled = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"))
     unsettled = unsettled.filter("x <> y and n > 2").select("key")
     left = placed.join(unsettled, "key").join(vertices.select("sid", "n", "point"), "sid")
-    pairs = _looked_up(left, percent).join(stars, ["a", "b"], "left_anti")
-    more = cut_lineage(_verified(pairs, sets, percent), "links")
-    if not more.isEmpty():
-        comp = components(vertices, links.unionByName(more))
+    pairs = cut_lineage(_looked_up(left, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        more = _verified(docs, pairs, vertices, size, percent)
+        if not more.isEmpty():
+            comp = components(vertices, links.unionByName(more))
     labelled = rows.join(comp, "sid", "left").withColumn("label", F.coalesce("comp", "sid"))
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))

@@ -107,6 +107,22 @@ def test_jaccard_join(docs, rows, percent, monkeypatch):
     assert found == shingled(rows, 3, percent)
 
 
+@pytest.mark.parametrize("bits", [1, 22])
+def test_jaccard_links_do_not_depend_on_the_order(docs, rows, bits):
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(docs, 5, 80, bits).collect()}
+    assert found == shingled(rows, 5, 80)
+
+
+def test_every_linked_pair_of_sizes_shares_a_prefix_shingle():
+    for percent in (60, 80, 90):
+        for a in range(1, 200):
+            for b in range(a, 100 * a // percent + 1):
+                least = int(jaccard_join.needed(a, b, percent))
+                if least <= a and (a, b) != (least, least):
+                    assert jaccard_join.prefix_length(a, percent) > a - least
+                    assert jaccard_join.prefix_length(b, percent) > b - least
+
+
 def test_jaccard_family_links_through_its_original(spark):
     base = [f"w{i}" for i in range(300)]
     family = [(0, " ".join(base))]
