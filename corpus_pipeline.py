@@ -33,7 +33,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents with probabilities calibrated to the target shares of source, language and topic."""
+    """Takes documents as often as weights calibrated to the target shares of source, language and topic say."""
     return mixing.sample_mix(docs)
 
 

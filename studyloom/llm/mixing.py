@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted into cells of (source, language, topic). The cells' token weights are raked to the target
-shares of one dimension after the other until all margins agree; a document is then kept with a probability in
-proportion to its cell's calibrated weight per token. Only cells move through the iteration, never documents: margins are
-window sums over the cells, and the lineage is cut after every few sweeps.
+shares of one dimension after the other until all margins agree; a document is then taken as often as its cell's
+calibrated weight per token says: the whole part of the weight always, and once more with its fraction as the
+probability, so the expected tokens of every cell are the raked ones. Only cells move through the iteration, never
+documents: margins are window sums over the cells, and the lineage is cut after every few sweeps.
 """
 
 from __future__ import annotations
@@ -77,11 +78,12 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.7, sweeps: int = 12) -> DataFrame:
-    """Adds the columns __source, __lang, __topic, __tokens, __weight, __prob, __kept to every row.
+    """Adds the columns __source, __lang, __topic, __tokens, __weight, __prob, __kept, __copies to every row.
 
-    ``__weight`` is the calibrated weight per token of the row's cell (1 on average) and ``__prob`` that weight, at
-    most 1: cells that the targets thin out are sampled, the others are kept whole, and a training run that repeats
-    a kept document ``__weight / __prob`` times has the target shares. Without ``targets`` each dimension's share is its present token share to ``power``. Null metadata form values of their
+    ``__weight`` is the calibrated weight per token of the row's cell (1 on average) and ``__copies`` how often the
+    sample has the row: ``__weight`` on average, so the copies have the target shares. ``__prob`` is the probability
+    of at least one copy (``__weight``, at most 1) and ``__kept`` tells whether there is one; the kept rows alone
+    do not have the target shares. Without ``targets`` each dimension's share is its present token share to ``power``. Null metadata form values of their
     own, documents without tokens are weighted as their cell is (a cell without any tokens: kept), and repeated
     rows share one decision. An empty table gives an empty result.
     """
@@ -95,12 +97,15 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     weighted = weighted.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "__weight", prob.alias("__prob"))
     weighted = cut_lineage(weighted, "weights")  # its size is known, so the planner can tell whether to broadcast it
     joined = rows.join(weighted, [f"__{d}" for d in DIMENSIONS])
-    return joined.withColumn("__kept", uniform(F.col("doc_id")) < F.col("__prob"))
+    drawn, weight = uniform(F.col("doc_id")), F.coalesce("__weight", F.lit(1.0))
+    copies = F.floor(weight) + (drawn < weight - F.floor(weight)).cast("long")
+    return joined.withColumns({"__kept": drawn < F.col("__prob"), "__copies": copies.cast("int")})
 
 
 def sample_mix(docs: DataFrame, power: float = 0.7) -> DataFrame:
-    """The documents that the calibrated probabilities keep, with their columns as they were."""
-    return mix(docs, power=power).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents as often as their calibrated weights say, with their columns as they were."""
+    rows = mix(docs, power=power).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest_mix(docs: DataFrame) -> DataFrame:

@@ -265,6 +265,22 @@ def test_mix_meets_targets(docs, empty):
     assert mixing.sample_mix(empty).count() == 0
 
 
+def test_sample_has_the_raked_token_shares(spark):
+    texts = ["plain words only " * 7, "write to a.b@c soon " * 4]
+    rows = [(i, texts[i % 10 == 0], ("en", "es", "de")[(i % 7 > 3) + (i % 20 == 0)], f"s{i % 9 == 0}", 0) for i in range(6000)]
+    found = mixing.mix(spark.createDataFrame(rows, SCHEMA)).toArrow().to_pylist()
+    sample = Counter(r.doc_id for r in mixing.sample_mix(spark.createDataFrame(rows, SCHEMA)).select("doc_id").collect())
+    assert max(r["__weight"] for r in found) > 1.5 and all(abs(sample[r["doc_id"]] - r["__weight"]) < 1 for r in found)
+    for dim in ("__source", "__lang", "__topic"):
+        present, taken = Counter(), Counter()
+        for r in found:
+            present[r[dim]] += r["__tokens"]
+            taken[r[dim]] += r["__tokens"] * sample[r["doc_id"]]
+        target = {v: n**0.7 / sum(m**0.7 for m in present.values()) for v, n in present.items()}
+        for value, share in target.items():
+            assert taken[value] / sum(taken.values()) == pytest.approx(share, abs=0.02)
+
+
 def test_hamming_ties_and_repeats(spark):
     codes = [(i, i % 5) for i in range(60)] + [(60, None), (None, 3), (7, 2)]
     rows = spark.createDataFrame(codes, "vec_id long, code long")
