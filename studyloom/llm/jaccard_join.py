@@ -37,6 +37,8 @@ LEAF = 16
 BLOCK_MEMBERS = 2048
 ORDER_BITS = 22
 CELL_BLOCK = 1 << 16
+#: A byte that belongs to a word.
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -312,13 +314,14 @@ def _ordered(a: str, b: str) -> list:
 
 
 def linked(docs: DataFrame, size: int = 3, percent: int = 90, order_bits: int = ORDER_BITS) -> DataFrame:
-    """k1, k2, doc_id, n_shingles, component_id of every row.
+    """k1, k2, doc_id, n_shingles, component_id, label of every row.
 
     Words are runs of characters other than ASCII white space, with A-Z lower-cased; a set holds the distinct runs
     of ``size`` words, a shorter text is one shingle, and null, empty and blank texts have an empty set that links
     with nothing. Sets link when 100 * intersection >= ``percent`` * union. ``component_id`` is the smallest doc_id
-    that links reach (null if all are null); repeated rows and equal texts are in one component. An empty table
-    gives an empty result; other input columns are not read. ``order_bits`` sizes the table that orders shingles and
+    that links reach (null if all are null); repeated rows and equal texts are in one component. Ids do not link, so
+    components of unrelated texts may have one ``component_id``; ``label`` tells components apart (null for an empty
+    set). An empty table gives an empty result; other input columns are not read. ``order_bits`` sizes the table that orders shingles and
     changes no result.
     """
     rows = cut_lineage(_described(docs, size, percent, order_bits), "sets")
@@ -346,7 +349,8 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90, order_bits: int =
     labelled = rows.join(comp, "sid", "left").withColumn("label", F.coalesce("comp", "sid"))
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return labelled.join(least, "label", "left").select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = labelled.join(least, "label", "left")
+    return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "label")
 
 
 def digest_components(docs: DataFrame) -> DataFrame:
@@ -357,14 +361,16 @@ def digest_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of linked documents, the one of the smallest id, with its columns as they were.
 
-    Repeated rows count as a group; documents without words are all kept.
+    Repeated rows count as a group; documents without words are all kept, repeated rows too. Only texts link: equal or
+    null ids join no group.
     """
-    found = linked(docs, size, percent).select("k1", "k2", "n_shingles", "component_id", F.col("doc_id").alias("__id"))
-    best = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "k2")).alias("best"))
-    best = best.select(F.coalesce("best.__id", F.lit(0).cast("long")).alias("k1"), F.col("best.k2").alias("k2"))
-    empty = found.filter("n_shingles = 0").select("k1", "k2")
-    chosen = best.unionByName(empty).distinct()
+    found = linked(docs, size, percent).select("k1", "k2", "n_shingles", "label", F.col("doc_id").alias("__id"))
+    best = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "k2")).alias("best"))
+    chosen = best.select(F.coalesce("best.__id", F.lit(0).cast("long")).alias("k1"), F.col("best.k2").alias("k2"))
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
+    has_words = F.coalesce(F.col("text").cast("string").rlike(NOT_SPACE), F.lit(False))
     names = {"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "__k2": F.xxhash64(text, F.col("doc_id").isNull())}
-    rows = docs.withColumns(names).join(chosen.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left_semi")
-    return rows.dropDuplicates(["__k1", "__k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.filter(has_words).withColumns(names)
+    rows = rows.join(chosen.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left_semi")
+    kept = rows.dropDuplicates(["__k1", "__k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.filter(~has_words))

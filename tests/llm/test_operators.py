@@ -150,6 +150,14 @@ def test_keep_one(docs, rows):
     assert len(kept) == len(set(kept)) and {1002, 1003, 1007} <= set(kept) and 1009 not in kept and 1004 not in kept
 
 
+def test_keep_one_links_texts_and_not_ids(spark):
+    base = [" ".join(f"{name}{k}" for k in range(30)) for name in "abcdef"]
+    rows = [(None, base[0]), (None, base[1]), (None, base[1]), (None, base[2] + " more"), (None, base[2]), (None, None), (None, None)]
+    rows += [(7, base[3]), (7, base[4]), (7, base[4]), (8, base[4]), (9, " "), (9, " "), (5, base[5]), (None, base[5])]
+    kept = Counter((r.doc_id, (r.text or "").strip()[:1]) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == {(None, "a"): 1, (None, "b"): 1, (None, "c"): 1, (None, ""): 2, (7, "d"): 1, (7, "e"): 1, (9, ""): 2, (5, "f"): 1}
+
+
 def test_bpe_equals_library(docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.vocabulary()
