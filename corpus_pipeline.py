@@ -14,6 +14,8 @@ from studyloom.session import cut_lineage
 
 #: The stages are trained models and iterative searches, which SQL does not express.
 ORACLE_SQL = None
+#: Words of the shortest repeated passage that is cut.
+PASSAGE_WORDS = 51
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the passages of 400 bytes and more that occur more than once; n_chars follows the text."""
-    cut = suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Cuts the passages of more than 50 words that occur more than once; n_chars follows the text."""
+    cut = suffix_dedup.remove_repeats(docs, PASSAGE_WORDS, words=True)
+    cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -14,6 +14,9 @@ whole are counted and kept once. What is left is shuffled by key and indexed:
 * the batch becomes a level; levels of about equal size are merged, so there are only logarithmically many. A
   level whose keys lie before the present batch can match nothing more and is retired.
 
+The same works on words: a text is then the sequence of its words' 64-bit hashes, windows are counted in words, and an
+anchor is the least of a window's ``WORD_ANCHOR``-word grams.
+
 Rows travel through Spark joins and aggregates only: counts are combined before the shuffle, and equal runs of a
 hot passage meet as one row.
 """
@@ -30,10 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from studyloom.llm.arrays import byte_keys, chunks, mix
+from studyloom.llm.arrays import byte_keys, chunks, mix, space_table, word_bounds, word_hashes
 from studyloom.session import cut_lineage
 
 ANCHOR = 32
+WORD_ANCHOR = 6
 PLACE_BITS = 24
 BATCH_BYTES = 1 << 21
 #: Runs per key above which the key's windows are dealt out by the place of their anchor.
@@ -43,8 +47,8 @@ GROWTH = 2
 
 
 def _doubled(data: np.ndarray, length: int) -> np.ndarray:
-    """Name of ``data[p : p + length]`` for every p, by doubling."""
-    names = byte_keys(29)[data]
+    """Name of ``data[p : p + length]`` (bytes or word hashes) for every p, by doubling."""
+    names = byte_keys(29)[data] if data.dtype == np.uint8 else data
     size, step = 1, 0
     with np.errstate(over="ignore"):
         while size < length:
@@ -70,8 +74,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, first window (byte in the row), windows, anchor's byte and key of every run of the rows."""
+def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the rows, one row after the other, and the rows' offsets in them."""
+    starts, ends, rows = word_bounds(data, offsets, space_table())
+    return word_hashes(data, starts, ends, seed=31), np.searchsorted(rows, np.arange(len(offsets)))
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Row, first window (byte or word in the row), windows, anchor's byte or word and key of every run of the rows."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none.astype(np.uint64)
@@ -79,10 +89,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     room = (1 << PLACE_BITS) - length
     for base in range(0, len(data) - length + 1, room):
         piece = data[base : base + room + length - 1]
-        grams = _doubled(piece, ANCHOR)
+        grams = _doubled(piece, gram)
         low = np.uint64((1 << PLACE_BITS) - 1)
         keyed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-        least = _least(keyed, length - ANCHOR + 1)
+        least = _least(keyed, length - gram + 1)
         windows = np.arange(len(least)) + base
         row = np.searchsorted(offsets, windows, "right") - 1
         inside = windows + length <= offsets[row + 1]
@@ -111,9 +121,9 @@ class SuffixLevels:
         self.repeated = np.zeros(0, bool)
 
     def _array(self, data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffix array: heads (first eight bytes), names and ids of the window starts, in order."""
-        heads = np.zeros(len(starts), np.uint64)
-        for i in range(8):
+        """Suffix array: heads (first eight bytes or first word), names and ids of the window starts, in order."""
+        heads = np.zeros(len(starts), np.uint64) if data.dtype == np.uint8 else data[starts]
+        for i in range(8 if data.dtype == np.uint8 else 0):
             heads = (heads << np.uint64(8)) | data[starts + i].astype(np.uint64)
         names = _doubled(data, self.length)[starts]
         order = np.lexsort((names, heads))
@@ -184,16 +194,18 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def _runs(rows: DataFrame, length: int) -> DataFrame:
+def _runs(rows: DataFrame, length: int, words: bool) -> DataFrame:
+    unit = 8 if words else 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "lo", "n", "anchor", "key", "content"]
         for batch, data, offsets in chunks(batches):
-            row, lo, n, anchor, key = runs_of(data, offsets, length)
-            view = memoryview(data)
-            begin = offsets[row] + lo
-            content = [
-                xxhash.xxh3_64_intdigest(view[b:e]) for b, e in zip(begin.tolist(), (begin + n + length - 1).tolist())
-            ]
+            if words:
+                data, offsets = word_symbols(data, offsets)
+            row, lo, n, anchor, key = runs_of(data, offsets, length, WORD_ANCHOR if words else ANCHOR)
+            view = memoryview(data.view(np.uint8))
+            begin, end = (offsets[row] + lo) * unit, (offsets[row] + lo + n + length - 1) * unit
+            content = [xxhash.xxh3_64_intdigest(view[b:e]) for b, e in zip(begin.tolist(), end.tolist())]
             k1, k2 = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
             columns = [k1, k2, lo.astype(np.int32), n.astype(np.int32), (anchor - lo).astype(np.int32), key.view(np.int64), np.array(content, np.uint64).view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
@@ -201,8 +213,27 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "k1 long, k2 long, lo int, n int, anchor int, key long, content long")
 
 
-def _index(strings: DataFrame, length: int) -> DataFrame:
+def _word_pieces(rows: DataFrame, length: int) -> DataFrame:
+    """The word hashes of the windows ``wanted`` of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "lo", "key", "many", "text", "slice"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int32()]
+        for batch, data, offsets in chunks(batches):
+            symbols, cuts = word_symbols(data, offsets)
+            out = []
+            for k1, k2, wanted, at in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), cuts.tolist()):
+                for w in wanted:
+                    piece = symbols[at + w["lo"] : at + w["lo"] + w["n"] + length - 1].tobytes()
+                    out.append((k1, k2, w["lo"], w["key"], w["many"], piece, w["slice"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return rows.mapInArrow(run, "k1 long, k2 long, lo int, key long, many boolean, text binary, slice int")
+
+
+def _index(strings: DataFrame, length: int, words: bool) -> DataFrame:
     """Window runs (k1, k2, lo, n) that the index finds repeated; input is sorted by key inside its partitions."""
+    unit, kind = (8, np.uint64) if words else (1, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = SuffixLevels(length)
@@ -212,11 +243,11 @@ def _index(strings: DataFrame, length: int) -> DataFrame:
         span = [0, 0]
 
         def flush() -> None:
-            lengths = np.array([len(p) for p in parts])
+            lengths = np.array([len(p) // unit for p in parts])
             base = np.cumsum(lengths) - lengths
             n = lengths - length + 1
             starts = np.repeat(base, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            levels.add(np.frombuffer(b"".join(parts), np.uint8), starts, *span)
+            levels.add(np.frombuffer(b"".join(parts), kind), starts, *span)
             parts.clear()
 
         held = 0
@@ -225,7 +256,7 @@ def _index(strings: DataFrame, length: int) -> DataFrame:
                 if not parts:
                     span[0], held = key, 0
                 parts.append(text)
-                sizes.append(len(text) - length + 1)
+                sizes.append(len(text) // unit - length + 1)
                 names.append((k1, k2, lo, many))
                 span[1] = key
                 held += len(text)
@@ -252,13 +283,14 @@ def _index(strings: DataFrame, length: int) -> DataFrame:
     return strings.mapInArrow(run, "k1 long, k2 long, lo int, n int")
 
 
-def repeated_windows(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Runs of repeated windows: k1, k2 (row keys), lo (first window, byte of the text), n (windows).
+def repeated_windows(docs: DataFrame, length: int = 400, words: bool = False) -> DataFrame:
+    """Runs of repeated windows: k1, k2 (row keys), lo (first window, byte or word of the text), n (windows).
 
-    A window is repeated if its ``length`` bytes also start elsewhere in the table, in the same row or another.
+    A window is repeated if its ``length`` bytes, or words, also start elsewhere in the table, in the same row or
+    another.
     """
     rows = keyed(docs)
-    runs = cut_lineage(_runs(rows, length), "runs")
+    runs = cut_lineage(_runs(rows, length, words), "runs")
     place = F.struct("k1", "k2", "lo", "n", "anchor").alias("first")
     strings = runs.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(place).alias("first"))
     keys = runs.groupBy("key").agg(F.count("*").alias("times"), F.min("content").alias("a"), F.max("content").alias("b"))
@@ -281,22 +313,22 @@ def repeated_windows(docs: DataFrame, length: int = 400) -> DataFrame:
     wanted = (
         sliced.filter("n > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "key", "slice", "many")).alias("wanted"))
     )
-    pieces = (
-        rows.join(wanted, ["k1", "k2"])
-        .select("k1", "k2", "text", F.explode("wanted").alias("w"))
-        .select(
-            "k1", "k2", "w.lo", "w.key", "w.many", F.substring("text", F.col("w.lo") + 1, F.col("w.n") + length - 1).alias("text"), "w.slice"
-        )
-    )
+    joined = rows.join(wanted, ["k1", "k2"])
+    piece = F.substring("text", F.col("w.lo") + 1, F.col("w.n") + length - 1).alias("text")
+    if words:
+        pieces = _word_pieces(joined.select("k1", "k2", "text", "wanted"), length)
+    else:
+        pieces = joined.select("k1", "k2", "text", F.explode("wanted").alias("w"))
+        pieces = pieces.select("k1", "k2", "w.lo", "w.key", "w.many", piece, "w.slice")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = pieces.repartition(parts, "key", "slice").sortWithinPartitions("key", "slice").drop("slice")
-    indexed = _index(pieces, length)
+    indexed = _index(pieces, length, words)
     return whole.unionByName(indexed)
 
 
-def _joined(docs: DataFrame, length: int) -> DataFrame:
+def _joined(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
     """Every row with ``__spans``: its repeated windows (null if it has none)."""
-    found = repeated_windows(docs, length)
+    found = repeated_windows(docs, length, words)
     per_row = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("__spans"))
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     keyed = docs.withColumns(
@@ -331,9 +363,28 @@ def _cut(text: bytes, windows: list[dict] | None, length: int, whole_chars: bool
     return b"".join([*kept, text[at:]]), spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def _cut_words(text: bytes, windows: list[dict] | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
+    if not windows:
+        return text, []
+    starts, ends, _ = word_bounds(np.frombuffer(text, np.uint8), np.array([0, len(text)]), space_table())
+    lo = np.array([w["lo"] for w in windows], np.int64)
+    n = np.array([w["n"] for w in windows], np.int64)
+    first, last = _spans(lo, n, length)
+    spans = list(zip(starts[first].tolist(), ends[last - 1].tolist()))
+    kept, at = [], 0
+    for start, end in spans:
+        kept.append(text[at:start])
+        at = end
+    return b"".join([*kept, text[at:]]), spans
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: bool = False) -> DataFrame:
     """Texts without the bytes that a repeated string of ``length`` bytes covers.
 
+    With ``words`` they lose what a repeated sequence of ``length`` words covers, from its first word's first byte to
+    its last word's last byte. Words are runs of bytes other than ASCII white space and are compared byte by byte; the
+    white space between them is not compared.
+
     Output: the input columns with ``text`` cut, and ``removed_spans`` array<struct<start, end>> (bytes of the
     input text, whole characters only: a character that a span cuts stays). Null texts stay null, texts shorter
     than ``length`` stay as they are, repeated rows lose all of a text that is long enough; other columns are kept
@@ -348,13 +399,14 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts, windows = batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()
-            cut = [(None, []) if t is None else _cut(t.encode(), w, length, True) for t, w in zip(texts, windows)]
+            part = (lambda t, w: _cut_words(t, w, length)) if words else (lambda t, w: _cut(t, w, length, True))
+            cut = [(None, []) if t is None else part(t.encode(), w) for t, w in zip(texts, windows)]
             columns = [batch.column(i) for i in range(len(names))]
             columns[place] = pa.array([None if c[0] is None else c[0].decode() for c in cut], pa.string())
             spans = pa.array([[{"start": a, "end": b} for a, b in c[1]] for c in cut], kind)
             yield pa.RecordBatch.from_arrays([*columns, spans], [*names, "removed_spans"])
 
-    return _joined(docs, length).select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, schema)
+    return _joined(docs, length, words).select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, schema)
 
 
 def digest_repeats(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -83,6 +83,28 @@ def test_remove_repeats_keeps_characters(docs):
         assert (row.text is None) == (row.doc_id == 1003)
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_pipeline_cuts_repeated_passages_of_51_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    own = lambda i, n: [f"r{i}w{k}" for k in range(n)]
+    passage, short, within = ([f"{p}{k % 13}{k}é"[-5:] for k in range(n)] for p, n in (("a", 51), ("b", 50), ("c", 60)))
+    assert len(" ".join(passage).encode()) < 400
+    words = [own(0, 40) + passage + own(10, 30), own(1, 7) + passage, passage + own(2, 60), own(3, 20) + short + own(13, 9), own(4, 20) + short]
+    words += [within + own(5, 5) + within[3:] + own(15, 5), own(6, 3) + passage + within[:55] + own(16, 2), own(7, 300)]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(words)] + [(8, None, "en", "s", 0), (9, "", "en", "s", 0)]
+    rows += [(10, "  ".join(passage) + "\n", "en", "s", 0)]
+    seen = Counter(tuple(w[p : p + 51]) for w in [(t or "").split() for _, t, *_ in rows] for p in range(len(w) - 50))
+    want = {}
+    for i, text, *_ in rows:
+        w = (text or "").split()
+        gone = {p + k for p in range(len(w) - 50) if seen[tuple(w[p : p + 51])] > 1 for k in range(51)}
+        want[i] = None if text is None else [x for k, x in enumerate(w) if k not in gone]
+    assert want[0] == own(0, 40) + own(10, 30) and want[3] == words[3]
+    found = corpus_pipeline.without_repeats(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), SF).collect()
+    assert {r.doc_id: None if r.text is None else r.text.split() for r in found} == want
+    assert all(r.n_chars == len(r.text) for r in found if r.text is not None)
+
+
 def shingled(rows, size, percent):
     sets = {}
     for i, text in rows:
