@@ -9,7 +9,8 @@ its words and over its densest short windows, and a logistic calibration turns t
 
 Counting covers every labelled row outside the held-out fold. Counts live in hashed tables of fixed size
 (``word_bits``, ``pair_bits``), are added up task by task, then block by block over a shuffle, and the sums - of a
-size that the parameters bound - are broadcast for scoring. The calibration compares texts with models of the
+size that the parameters bound - are broadcast for scoring. No count is clipped. The different words before a word
+are counted from the distinct pairs by 64-bit hash, in a Spark aggregate that grows with the input. The calibration compares texts with models of the
 other half of the labelled rows, so no text is judged by its own counts; it is fitted on at most ``max_rows``.
 """
 
@@ -31,7 +32,7 @@ BLOCK = 1 << 14
 DISCOUNT = 0.75
 WINDOWS = (1, 3, 8)
 FLOOR = 2.0
-NAMES = ("word0", "word1", "before", "pair0", "pair1")
+NAMES = ("word0", "word1", "pair0", "pair1")
 
 
 @dataclass(frozen=True)
@@ -41,17 +42,11 @@ class Size:
 
     def empty(self) -> dict[str, np.ndarray]:
         words, pairs = 1 << self.word_bits, 1 << self.pair_bits
-        return {
-            "word0": np.zeros(words, np.uint32),
-            "word1": np.zeros(words, np.uint32),
-            "before": np.zeros(words, np.uint64),
-            "pair0": np.zeros(pairs, np.uint32),
-            "pair1": np.zeros(pairs, np.uint32),
-        }
+        return {name: np.zeros(words if name.startswith("word") else pairs, np.uint64) for name in NAMES}
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word: its slot, the slot of the pair with the word before it, that word's bucket, its row.
+    """Of every word: its slot, the slot and the hash of the pair with the word before it, its row.
 
     The first word of a row pairs with a start mark.
     """
@@ -62,7 +57,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, size: Size) -> tuple[np.ndar
     with np.errstate(over="ignore"):
         pairs = mix(before * np.uint64(0x9FB21C651E98DF25) + hashes)
     shift = np.uint64(64 - size.word_bits), np.uint64(64 - size.pair_bits)
-    return (hashes >> shift[0]).astype(np.int64), (pairs >> shift[1]).astype(np.int64), before >> np.uint64(58), rows
+    return (hashes >> shift[0]).astype(np.int64), (pairs >> shift[1]).astype(np.int64), pairs, rows
 
 
 def _blocks(tables: dict[str, np.ndarray], fold: int) -> Iterator[tuple[int, str, int, bytes]]:
@@ -81,13 +76,35 @@ def _batch(rows: list[tuple[int, str, int, bytes]]) -> pa.RecordBatch:
 BLOCK_SCHEMA = "fold int, name string, block int, data binary"
 
 
+def predecessors(train: DataFrame, size: Size) -> list[np.ndarray]:
+    """Different pairs that end in a word of every slot: in either half (column ``fold``) and in both together."""
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in chunks(batches):
+            words, _, pairs, rows = words_of(data, offsets, size)
+            fold = batch.column(batch.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
+            for f in (0, 1):
+                mine = (fold == f)[rows]
+                pair, at = np.unique(pairs[mine], return_index=True)
+                columns = [pa.array(pair.view(np.int64)), pa.array(words[mine][at].astype(np.int32)), pa.array(np.full(len(pair), 1 << f, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["pair", "slot", "half"])
+
+    pairs = train.mapInArrow(pairs_of, "pair long, slot int, half int").groupBy("pair", "slot").agg(F.bit_or("half").alias("halves"))
+    sums = [F.sum(F.when(F.col("halves").bitwiseAND(half) > 0, 1).otherwise(0)).alias(f"n{half}") for half in (1, 2, 3)]
+    found = pairs.groupBy("slot").agg(*sums).toArrow()  # at most one row per slot
+    out = [np.zeros(1 << size.word_bits, np.uint64) for _ in sums]
+    for table, half in zip(out, (1, 2, 3)):
+        table[found.column("slot").to_numpy()] = found.column(f"n{half}").to_numpy()
+    return out
+
+
 def count_tables(train: DataFrame, size: Size) -> list[dict[str, np.ndarray]]:
-    """Summed tables of the two halves (column ``fold``) of the labelled rows (``label`` 0 or 1)."""
+    """Summed tables of the two halves (column ``fold``) of the labelled rows (``label`` 0 or 1), and of all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [size.empty(), size.empty()]
         for batch, data, offsets in chunks(batches):
-            words, pairs, bucket, rows = words_of(data, offsets, size)
+            words, pairs, _, rows = words_of(data, offsets, size)
             label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
             fold = batch.column(batch.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
             for f in (0, 1):
@@ -95,9 +112,7 @@ def count_tables(train: DataFrame, size: Size) -> list[dict[str, np.ndarray]]:
                     mine = ((label == c) & (fold == f))[rows]
                     for name, slots in ((f"word{c}", words[mine]), (f"pair{c}", pairs[mine])):
                         slot, times = np.unique(slots, return_counts=True)
-                        own[f][name][slot] += times.astype(np.uint32)
-                mine = (fold == f)[rows]
-                np.bitwise_or.at(own[f]["before"], words[mine], np.uint64(1) << bucket[mine])
+                        own[f][name][slot] += times.astype(np.uint64)
         for f in (0, 1):
             if rows := list(_blocks(own[f], f)):
                 yield _batch(rows)
@@ -106,11 +121,9 @@ def count_tables(train: DataFrame, size: Size) -> list[dict[str, np.ndarray]]:
         sums: dict[tuple[int, str, int], np.ndarray] = {}
         for batch in batches:
             for fold, name, block, data in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(zlib.decompress(data), np.uint64 if name == "before" else np.uint32)
+                part = np.frombuffer(zlib.decompress(data), np.uint64)
                 if (held := sums.get((fold, name, block))) is None:
                     sums[fold, name, block] = part.copy()
-                elif name == "before":
-                    held |= part
                 else:
                     held += part
         for (fold, name, block), part in sums.items():
@@ -121,8 +134,11 @@ def count_tables(train: DataFrame, size: Size) -> list[dict[str, np.ndarray]]:
     out = [size.empty(), size.empty()]
     for batch in blocks.toArrow().to_batches():  # at most the tables' own size
         for fold, name, block, data in zip(*(c.to_pylist() for c in batch.columns)):
-            part = np.frombuffer(zlib.decompress(data), np.uint64 if name == "before" else np.uint32)
+            part = np.frombuffer(zlib.decompress(data), np.uint64)
             out[fold][name][block * BLOCK : block * BLOCK + len(part)] = part
+    out.append({k: out[0][k] + out[1][k] for k in NAMES})
+    for tables, before in zip(out, predecessors(train, size)):
+        tables["before"] = before
     return out
 
 
@@ -130,12 +146,12 @@ class Models:
     """Evidence of words and pairs from summed tables."""
 
     def __init__(self, tables: dict[str, np.ndarray]):
-        bits = np.bitwise_count(tables["before"]).astype(np.float64)
-        follows = -64 * np.log1p(-np.minimum(bits, 63.5) / 64)  # different words before it, by linear counting
+        follows = tables["before"].astype(np.float64)  # different words before it
         self.shared = ((follows + 0.5) / (follows.sum() + 0.5 * len(follows))).astype(np.float32)
         words = [self._discounted(tables[f"word{c}"], self.shared) for c in (0, 1)]
         self.word = (np.log(words[1]) - np.log(words[0])).astype(np.float32)
-        self.counts = [np.minimum(tables[f"pair{c}"], 65535).astype(np.uint16) for c in (0, 1)]
+        pairs = [tables[f"pair{c}"] for c in (0, 1)]
+        self.counts = [p.astype(np.min_scalar_type(p.max(initial=0))) for p in pairs]  # as narrow as the largest count allows
         self.total = [max(1.0, float(tables[f"pair{c}"].sum())) for c in (0, 1)]
         self.freed = [max(1.0, DISCOUNT * np.count_nonzero(tables[f"pair{c}"])) / self.total[c] for c in (0, 1)]
 
@@ -235,7 +251,7 @@ def fit_toxicity(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(keep)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("fold")
     train = cut_lineage(texts.join(known, "doc_id").select("doc_id", "text", "label", fold), "toxic-train")
-    halves = count_tables(train, size)
+    *halves, both = count_tables(train, size)
     n = train.count()
     if n > max_rows:
         train = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
@@ -251,7 +267,6 @@ def fit_toxicity(
     judged = train.mapInArrow(judge, "x array<double>, label int").toArrow()  # at most about max_rows short rows
     x = np.array(judged.column("x").to_pylist(), float).reshape(len(judged), 6 + len(WINDOWS))
     fitted = _calibrate(x, judged.column("label").to_numpy().astype(float))
-    both = {k: halves[0][k] | halves[1][k] if k == "before" else halves[0][k] + halves[1][k] for k in NAMES}
     return Toxicity(Models(both), size, *fitted)
 
 

@@ -238,6 +238,22 @@ def test_quality_and_toxicity(docs, labels, empty):
     assert {r.quality_score for r in quality.score_quality(docs, quality.fit_quality(docs, labels.limit(0), F.lit(True))).collect()} == {0.5}
 
 
+def test_toxicity_counts_are_not_capped(spark):
+    rows = [(f"p{i} hub", i % 2, i // 2 % 2) for i in range(2000)] + [("same pair " * 40_000, 0, 0), ("same pair " * 40_000, 0, 1)]
+    size = toxicity.Size(20, 22)
+    train = spark.createDataFrame(rows, "text string, label int, fold int").repartition(3)
+    *halves, both = toxicity.count_tables(train, size)
+
+    def slots(text):
+        return [x[-1] for x in toxicity.words_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), size)[:2]]
+
+    hub, second = slots("p0 hub"), slots("same pair")
+    assert [h["before"][hub[0]] for h in (*halves, both)] == [1000, 1000, 2000]
+    model = toxicity.Models(both)
+    assert model.counts[0][second[1]] == 80_000 and model.total[0] == 160_000 + 2000
+    assert model.shared[hub[0]] / model.shared[second[0]] == pytest.approx(2000.5 / 1.5)
+
+
 def test_held_out_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = quality.held_out(1, 3)
