@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import bpe, hamming, hilbert, jaccard_join, licenses, mixing, quality, spotsigs, suffix_dedup, toxicity
+from studyloom.llm import (
+    bpe,
+    byte_bpe,
+    hamming,
+    hard_negatives,
+    hilbert,
+    jaccard_join,
+    licenses,
+    mixing,
+    quality,
+    spotsigs,
+    suffix_dedup,
+    toxicity,
+    vector_codes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Rows per Arrow batch: long texts would make the default's batches too large for a worker.
@@ -21,6 +35,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary() -> tuple[str, str]:
+    """Default path of the rank file, on every worker's own installation, and its splitting pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,6 +97,20 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digest_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine_hard_negatives(rows, F.expr("vec_id % 100 = 0"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest_documents(table(spark, sf_dir, "documents"), *byte_vocabulary())
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -89,6 +124,14 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_toxicity,
         op10_hilbert_shards,
+        op11_hard_negatives,
+        op12_byte_bpe,
+        op13_vector_codes,
     )
 }
-SQL: dict[str, str] = {"op5_mixing": mixing.mix_sql(), "op6_hamming_topk": hamming.search_sql()}
+SQL: dict[str, str] = {
+    "op5_mixing": mixing.mix_sql(),
+    "op6_hamming_topk": hamming.search_sql(),
+    "op11_hard_negatives": hard_negatives.negatives_sql(),
+    "op13_vector_codes": vector_codes.codes_sql(),
+}
