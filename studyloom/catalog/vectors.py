@@ -101,10 +101,9 @@ def mmr_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {PAIR_SQL}, band AS (SELECT q, c, sim AS rel FROM s WHERE sim >= 0.1 AND sim <= 0.92), {_mmr_sql('band', '0.8::DOUBLE', '0.2::DOUBLE')}",
 )
 def mmr_k3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same selection with the database split into blocks."""
+    """The same selection with small blocks around few pivots."""
     v = vector_cases(spark, sf_dir)
-    rows = v.count()
-    return _shown(R.diverse_cases(v, v, 3, _SCORING, block_rows=max(1, rows // 3)))
+    return _shown(R.diverse_cases(v, v, 3, _SCORING, block_rows=100, pivots=5))
 
 
 # label probabilities of a vector: six labels, arithmetic on its id
