@@ -6,6 +6,8 @@ Codes are made from the brand number: brands 1-5 give the three-character parent
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import ids
 from ..operators import history as H
 from ..operators import knowledge as K
 from ..operators import patient as P
+from ..operators import timeline as L
 from ..session import cut_lineage
 from . import query
 from .tables import LINE_TIE, ordered_lines, table
@@ -59,8 +62,8 @@ LINES_SQL = f"""ln AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_
 FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
-def study_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(study_id, study_dt, history): orders with the nested admissions before them."""
+def admissions_and_studies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as admissions with their diagnoses, and as studies."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     diags = H.admission_diagnoses(
         order_diagnoses(spark, sf_dir),
@@ -81,6 +84,12 @@ def study_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     studies = orders.select(
         F.col("o_orderkey").alias("study_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").alias("study_dt")
     )
+    return adm, studies
+
+
+def study_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(study_id, study_dt, history): orders with the nested admissions before them."""
+    adm, studies = admissions_and_studies(spark, sf_dir)
     return H.attach_history(
         studies,
         adm,
@@ -93,6 +102,20 @@ def study_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KEYS = dict(subject="subject_id", key="study_id")
+
+
+def timelines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(timeline, marks): all diagnoses of a customer once, and how far each order sees. Both are written once."""
+    adm, studies = admissions_and_studies(spark, sf_dir)
+    adm = cut_lineage(adm, "admissions")
+    line, sizes = L.diagnosis_timeline(
+        adm, subject="subject_id", admission="hadm_id", discharge_time="dischtime", admit_time="admittime", severity=F.col("drg.drg_severity")
+    )
+    marks = L.study_marks(studies, sizes, study_time="study_dt", discharge_time="dischtime", **_KEYS)
+    return cut_lineage(line, "timeline"), cut_lineage(marks, "marks")
+
+
 def diagnosis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long history table, written once: several operators read it."""
     return cut_lineage(
@@ -211,8 +234,7 @@ _PRIMARY_SQL = "prim AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER
 
 @query("primary_disease", f"WITH {DIAG_SQL}, {_PRIMARY_SQL} SELECT study_id, ord, icd, description, severity, months_ago FROM prim")
 def primary_disease(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = P.primary_disease(diagnosis_rows(spark, sf_dir), "study_id")
-    return out.withColumn("ord", F.col("ord").cast("bigint"))
+    return L.primary_state(*timelines(spark, sf_dir), **_KEYS)
 
 
 _CHRONIC_SQL = "chron AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY study_id, icd) AS occurrences FROM diag) WHERE occurrences >= 2)"
@@ -267,7 +289,7 @@ evi AS MATERIALIZED (SELECT d.study_id, d.icd, list(e.finding ORDER BY e.i) AS e
   JOIN exf e ON e.icd = d.icd JOIN fnd f ON f.study_id = d.study_id AND f.finding = e.finding GROUP BY 1, 2)"""
 
 
-def evidence(spark: SparkSession, sf_dir: str, diagnosis: DataFrame) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str, codes: DataFrame) -> DataFrame:
     from ..operators.findings import history_findings
 
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -275,12 +297,12 @@ def evidence(spark: SparkSession, sf_dir: str, diagnosis: DataFrame) -> DataFram
         orders, subject="o_custkey", study_time="o_orderdate", study_id="o_orderkey", text="o_orderpriority", min_chars=5
     )
     found = history_findings(past.select(F.col("o_orderkey").alias("study_id"), "past_reports"), "study_id", "past_reports", FINDING_WORDS)
-    return cut_lineage(P.imaging_evidence(diagnosis, found, "study_id", CODE_FINDINGS))
+    return cut_lineage(P.imaging_evidence(codes, found, "study_id", CODE_FINDINGS))
 
 
 @query("imaging_evidence", f"WITH {DIAG_SQL}, {_EVIDENCE_SQL} SELECT study_id, icd, array_to_string(evidence, ',') AS evidence FROM evi")
 def imaging_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evidence(spark, sf_dir, diagnosis_rows(spark, sf_dir))
+    out = evidence(spark, sf_dir, L.code_marks(*timelines(spark, sf_dir), **_KEYS))
     return out.select("study_id", "icd", F.concat_ws(",", "evidence").alias("evidence"))
 
 
@@ -296,8 +318,9 @@ PATIENT_SQL = f"{DIAG_SQL}, {_PRIMARY_SQL}, {_EVIDENCE_SQL}, {WEIGHT_SQL}"
     f"WITH {PATIENT_SQL} SELECT study_id, icd, round(weight, 6) AS weight, CAST(n_evidence AS INTEGER) AS n_evidence FROM dw",
 )
 def disease_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = diagnosis_rows(spark, sf_dir)
-    out = P.disease_weights(d, P.primary_disease(d, "study_id"), evidence(spark, sf_dir, d), "study_id")
+    states = timelines(spark, sf_dir)
+    strongest = cut_lineage(L.strongest_state(*states, **_KEYS), "strongest")
+    out = P.scaled_weights(strongest, L.primary_state(*states, **_KEYS), evidence(spark, sf_dir, strongest), "study_id")
     return out.withColumn("weight", F.round("weight", 6))
 
 
@@ -331,7 +354,7 @@ sub_e AS MATERIALIZED (SELECT * FROM (SELECT * FROM edge1 UNION ALL SELECT * FRO
 )
 def khop_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ent, rel = knowledge(spark, sf_dir)
-    d = diagnosis_rows(spark, sf_dir)
+    d = L.code_marks(*timelines(spark, sf_dir), **_KEYS)
     return K.subgraph(d, ent, rel, key="study_id", code="icd", max_entities=MAX_ENTITIES)[0].select("study_id", "icd")
 
 
@@ -341,7 +364,7 @@ def khop_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def khop_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ent, rel = knowledge(spark, sf_dir)
-    d = diagnosis_rows(spark, sf_dir)
+    d = L.code_marks(*timelines(spark, sf_dir), **_KEYS)
     edges = K.subgraph(d, ent, rel, key="study_id", code="icd", max_entities=MAX_ENTITIES)[1]
     return edges.select("study_id", "src", "tgt", "rel_type", F.round("weight", 6).alias("weight"))
 
@@ -355,13 +378,36 @@ pe AS MATERIALIZED (SELECT e.study_id, e.src, e.tgt, e.rel_type, e.weight * (a.w
   JOIN pn a ON a.study_id = s.study_id AND a.icd = s.src JOIN pn b ON b.study_id = s.study_id AND b.icd = s.tgt WHERE s.src <> s.tgt)"""
 
 
-def patient_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(diagnosis, evidence, entities, relations) of every study."""
+@dataclass(frozen=True)
+class PatientGraphs:
+    """Graphs of all studies and the states of the timelines that they were made from.
+
+    Steps of the timeline are rows of the result where a query asks for them; only there a history is long.
+    """
+
+    timeline: DataFrame
+    marks: DataFrame
+    codes: DataFrame
+    primary: DataFrame
+    evidence: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    steps: DataFrame | None
+
+
+def patient_graphs(spark: SparkSession, sf_dir: str, with_steps: bool = False) -> PatientGraphs:
     ent, rel = knowledge(spark, sf_dir)
-    d = diagnosis_rows(spark, sf_dir)
-    ev = evidence(spark, sf_dir, d)
-    nodes, edges = P.patient_graph(d, ent, rel, key="study_id", evidence=ev, max_entities=MAX_ENTITIES)
-    return d, ev, nodes, edges
+    states = timelines(spark, sf_dir)
+    codes = cut_lineage(L.strongest_state(*states, **_KEYS), "strongest")
+    primary = L.primary_state(*states, **_KEYS)
+    ev = evidence(spark, sf_dir, codes)
+    weights = P.scaled_weights(codes, primary, ev, "study_id")
+    if with_steps:
+        steps = P.timeline_steps(diagnosis_rows(spark, sf_dir), "study_id")
+    else:
+        steps = spark.createDataFrame([], "study_id long, src_ord int, src string, tgt string, gap_months double")
+    nodes, edges = P.weighted_graph(codes, weights, steps, ent, rel, key="study_id", max_entities=MAX_ENTITIES)
+    return PatientGraphs(*states, codes, primary, ev, nodes, edges, steps)
 
 
 @query(
@@ -369,7 +415,7 @@ def patient_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     f"WITH {GRAPH_SQL} SELECT study_id, icd, type, round(weight, 6) AS weight, name, category, has_imaging_evidence FROM pn",
 )
 def patient_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patient_graphs(spark, sf_dir)[2].withColumn("weight", F.round("weight", 6))
+    return patient_graphs(spark, sf_dir).nodes.withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -377,7 +423,7 @@ def patient_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {GRAPH_SQL} SELECT study_id, src, tgt, rel_type, count(*) AS n, round(sum(weight), 6) AS weight FROM pe GROUP BY 1, 2, 3, 4",
 )
 def patient_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = patient_graphs(spark, sf_dir)[3]
+    edges = patient_graphs(spark, sf_dir, with_steps=True).edges
     return edges.groupBy("study_id", "src", "tgt", "rel_type").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight")
     )
@@ -390,8 +436,8 @@ SELECT study_id, count(*) AS num_entities, round(avg(weight), 6) AS mean_weight,
   coalesce(any_value(num_relations), 0) AS num_relations FROM pn LEFT JOIN e USING (study_id) GROUP BY 1""",
 )
 def patient_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, nodes, edges = patient_graphs(spark, sf_dir)
-    return P.graph_statistics(nodes, edges, "study_id")
+    graphs = patient_graphs(spark, sf_dir, with_steps=True)
+    return P.graph_statistics(graphs.nodes, graphs.edges, "study_id")
 
 
 @query(
@@ -401,9 +447,8 @@ def patient_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE (s.src, s.tgt) IN (SELECT (src, tgt) FROM rel WHERE rel_type IN ('causes', 'progresses_to')) GROUP BY 1, 2, 3""",
 )
 def progression_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, _, nodes, _ = patient_graphs(spark, sf_dir)
-    steps = P.timeline_steps(d, "study_id")
-    edges = P.progression_edges(steps, nodes, K.fixed_relations(spark, RELATIONS), "study_id")
+    graphs = patient_graphs(spark, sf_dir, with_steps=True)
+    edges = P.progression_edges(graphs.steps, graphs.nodes, K.fixed_relations(spark, RELATIONS), "study_id")
     return edges.groupBy("study_id", "src", "tgt").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight")
     )
@@ -411,12 +456,24 @@ def progression_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pair_edges",
-    f"""WITH {GRAPH_SQL}, f AS (SELECT d.study_id, d.icd, min(d.ord) AS o FROM diag d JOIN pn ON pn.study_id = d.study_id AND pn.icd = d.icd GROUP BY 1, 2)
-SELECT x.study_id, x.icd AS src, y.icd AS tgt, 'co-occurring' AS rel_type, 0.8::DOUBLE AS weight FROM f x JOIN f y ON x.study_id = y.study_id AND x.o < y.o""",
+    f"""WITH {GRAPH_SQL}, f AS MATERIALIZED (SELECT study_id, list(icd ORDER BY o) AS codes FROM (SELECT d.study_id, d.icd, min(d.ord) AS o FROM diag d
+  JOIN pn ON pn.study_id = d.study_id AND pn.icd = d.icd GROUP BY 1, 2) GROUP BY 1)
+SELECT study_id, CAST(len(codes) * (len(codes) - 1) // 2 AS BIGINT) AS n, round(len(codes) * (len(codes) - 1) // 2 * 0.8::DOUBLE, 6) AS weight,
+  array_to_string(flatten(list_transform(range(1, len(codes)), lambda i: list_transform(codes[i + 1:], lambda b: codes[i] || '>' || b))), ',') AS pairs FROM f WHERE len(codes) > 1""",
 )
 def pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, _, nodes, _ = patient_graphs(spark, sf_dir)
-    return P.pair_edges(d, nodes, "study_id")
+    """The 'co-occurring' edges of every study, packed into one row in their order."""
+    graphs = patient_graphs(spark, sf_dir)
+    edges = P.pair_edges(graphs.codes, graphs.nodes, "study_id")
+    first = graphs.codes.select("study_id", "icd", "ord")
+    placed = edges.join(first.select("study_id", F.col("icd").alias("src"), F.col("ord").alias("a")), ["study_id", "src"])
+    placed = placed.join(first.select("study_id", F.col("icd").alias("tgt"), F.col("ord").alias("b")), ["study_id", "tgt"])
+    packed = F.array_sort(F.collect_list(F.struct("a", "b", F.concat("src", F.lit(">"), "tgt").alias("p"))))
+    return placed.groupBy("study_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("weight"), 6).alias("weight"),
+        F.concat_ws(",", F.transform(packed, lambda x: x["p"])).alias("pairs"),
+    )
 
 
 _LISTED_SQL = "CASE {} ELSE CASE {} END END".format(
@@ -446,9 +503,10 @@ ctext AS (SELECT p.study_id, 'CLINICAL CONTEXT:' || chr(10) || '- Primary: ' ||
 
 
 def clinical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, ev, nodes, _ = patient_graphs(spark, sf_dir)
-    return P.clinical_text(
-        d, nodes, key="study_id", by_code=CODE_FINDINGS, by_prefix=PREFIX_FINDINGS, evidence=ev
+    g = patient_graphs(spark, sf_dir)
+    recurrent = L.recurrent_state(g.timeline, g.marks, **_KEYS)
+    return P.clinical_summary(
+        g.primary, recurrent, g.nodes, key="study_id", by_code=CODE_FINDINGS, by_prefix=PREFIX_FINDINGS, evidence=g.evidence
     )
 
 

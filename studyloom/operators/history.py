@@ -64,14 +64,17 @@ def history_totals(
 
 
 def timeline_positions(
-    admissions: DataFrame, *, subject: str, discharge_time: str, tie: str, bucket_days: int = 32
+    admissions: DataFrame, *, subject: str, discharge_time: str, tie: str, bucket_days: int = 32, weight: str | None = None
 ) -> DataFrame:
-    """Adds ``position``: 0-based rank in the subject's timeline by (discharge, tie)."""
+    """Adds ``position``: 0-based rank in the subject's timeline by (discharge, tie).
+
+    With ``weight``, a row takes that many positions and gets its first.
+    """
     rows = admissions.withColumn("__t", micros(discharge_time))
     # the tie is unique per subject, so a struct order value holds one row
     rows = rows.withColumn("__o", F.struct("__t", tie))
     bucket = F.floor(F.col("__o.__t") / F.lit(bucket_days * MICROS_PER_DAY))
-    ranks = prefix_sums(rows, [subject], "__o", bucket, {"position": F.lit(1)})
+    ranks = prefix_sums(rows, [subject], "__o", bucket, {"position": F.lit(1) if weight is None else F.col(weight)})
     return rows.join(ranks, [subject, "__o"]).drop("__t", "__o")
 
 
@@ -213,19 +216,17 @@ def relevant_descriptions(
     """Per study: at most ``limit`` descriptions of its history, lowest sequence number first.
 
     ``end`` is the history length of the study and the first entry of ``order`` the
-    timeline position. Studies with nothing relevant are absent.
+    timeline position. Studies with nothing relevant are absent. The lowest ``limit`` of those seen is a running
+    state of the timeline, so a study never meets the descriptions of its subject.
     """
-    pairs = spans.select(subject, study_id, end).join(firsts, subject).filter(F.col(f"first_seen.{order[0]}") < F.col(end))
-    keys = [F.col("first_seen.__seq"), *[F.col(f"first_seen.{o}") for o in order], F.col(description)]
-    return (
-        top_k(pairs, [study_id], keys, limit, "__rank")
-        .groupBy(study_id)
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("__rank", description))), lambda d: d[description]
-            ).alias("descriptions")
-        )
-    )
+    from .timeline import prefix_lowest
+
+    seen = [F.col(f"first_seen.{o}").alias("position" if i == 0 else f"__o{i}") for i, o in enumerate(order)]
+    rows = firsts.select(subject, F.col("first_seen.__seq").alias("__seq"), *seen, F.col(description).alias("__d"))
+    marks = spans.select(subject, study_id, F.col(end).cast("long").alias("end"))
+    keys = ["__seq", "position", *[f"__o{i}" for i in range(1, len(order))], "__d"]
+    found = prefix_lowest(rows, marks, subject=subject, order=keys, k=limit, key=study_id)
+    return found.filter(F.size("lowest") > 0).select(study_id, F.transform("lowest", lambda x: x["__d"]).alias("descriptions"))
 
 
 def history_context(past: Column, descriptions: Column) -> Column:
