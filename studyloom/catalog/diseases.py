@@ -523,3 +523,36 @@ def expected_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = order_diagnoses(spark, sf_dir).select(F.col("icd_code").alias("icd")).distinct()
     found = P.expected_findings(F.col("icd"), CODE_FINDINGS, PREFIX_FINDINGS)
     return codes.select("icd", F.concat_ws(",", found).alias("findings"))
+
+
+_KB_PAIRS_SQL = """bo AS (SELECT DISTINCT study_id, icd FROM diag), bn AS (SELECT icd, count(*) AS n FROM bo GROUP BY 1),
+bp AS (SELECT x.icd AS a, y.icd AS b, count(*) AS support FROM bo x JOIN bo y ON x.study_id = y.study_id AND x.icd < y.icd GROUP BY 1, 2),
+bc AS (SELECT a, b, support / CAST(least(p.n, q.n) AS DOUBLE) AS confidence FROM bp JOIN bn p ON p.icd = a JOIN bn q ON q.icd = b WHERE support >= 10)"""
+
+
+def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..plans.build_kb import build_kb_from_timelines
+
+    return build_kb_from_timelines(
+        *timelines(spark, sf_dir), **_KEYS, min_support=10, min_confidence=0.5, categories=CATEGORIES, relations=RELATIONS
+    )
+
+
+@query(
+    "kb_build_entities",
+    f"""WITH {DIAG_SQL} SELECT icd, arg_min(description, (study_id, ord)) AS name, 'disease' AS type, {_CAT_SQL} AS category, count(*) AS frequency FROM diag GROUP BY icd""",
+)
+def kb_build_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knowledge base job, every study's history being one basket."""
+    return _built(spark, sf_dir)[0]
+
+
+@query(
+    "kb_build_relations",
+    f"""WITH {DIAG_SQL}, {_KB_PAIRS_SQL}, r AS (SELECT * FROM (VALUES {_REL_ROWS}) AS f(src, tgt, rel_type, weight, ord)
+  UNION ALL SELECT a, b, 'co-occurs_with', confidence, {len(RELATIONS)} FROM bc WHERE confidence >= 0.5
+  UNION ALL SELECT b, a, 'co-occurs_with', confidence, {len(RELATIONS)} FROM bc WHERE confidence >= 0.5)
+SELECT src, tgt, rel_type, round(weight, 6) AS weight, CAST(ord AS BIGINT) AS ord FROM r""",
+)
+def kb_build_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir)[1].withColumn("weight", F.round("weight", 6))

@@ -310,6 +310,17 @@ def shape_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.shape_counts(rows, F.format_string("(%d, 64)", F.col("rows")))
 
 
+@query(
+    "view_counts",
+    """WITH v AS (SELECT CAST((vec_id + label) // 5 AS BIGINT) AS study_id, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT n AS num_views, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100, 6) AS percent FROM v GROUP BY v.n""",
+)
+def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    study = F.floor((F.col("vec_id") + F.col("label")) / 5).cast("bigint").alias("study_id")
+    rows = embeddings(spark, sf_dir).groupBy(study).agg(F.count(F.lit(1)).alias("views"))
+    return X.value_distribution(rows, F.col("views"), "num_views")
+
+
 @query("seeded_sample")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.seeded_sample(embeddings(spark, sf_dir).select("vec_id", "label"), "vec_id", 50, 7)

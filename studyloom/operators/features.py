@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 from .scale import top_k
 
 # fixed values: weights of the views in a fused vector
@@ -100,12 +102,46 @@ def shape_counts(rows: DataFrame, shape: Column, k: int = 5) -> DataFrame:
     )
 
 
+def order_statistics(rows: DataFrame, col: str, ranks: Callable[[int], Sequence[int]]) -> dict[int, float]:
+    """The values at some 0-based ranks of ``col`` (nulls left out), without sorting the rows in one task.
+
+    The values are range partitioned, ties spread by a hash, and written once; the counts of the partitions tell
+    where a rank lies, and only those partitions are read again. ``ranks`` gets the number of values. Eager.
+    """
+    values = rows.select(F.col(col).cast("double").alias("v"), F.xxhash64(F.monotonically_increasing_id()).alias("tie")).filter("v is not null")
+    spread = values.repartitionByRange("v", "tie")
+    spread = cut_lineage(spread.select("v", F.spark_partition_id().alias("part")), "ranges")
+    counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row per partition
+    wanted, found, start = sorted(set(ranks(sum(r["n"] for r in counts)))), {}, 0
+    spans = []
+    for r in counts:
+        inside = [k for k in wanted if start <= k < start + r["n"]]
+        if inside:
+            spans.append((r["part"], start, inside))
+        start += r["n"]
+    if spans:
+        place = F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1
+        near = spread.filter(F.col("part").isin([p for p, _, _ in spans])).withColumn("place", place)
+        hit = reduce(lambda a, b: a | b, [(F.col("part") == p) & F.col("place").isin([k - s for k in own]) for p, s, own in spans])
+        first = {p: s for p, s, _ in spans}
+        found = {first[r["part"]] + r["place"]: r["v"] for r in near.filter(hit).collect()}
+    return found
+
+
+def exact_median(rows: DataFrame, col: str) -> float | None:
+    """Median of ``col``; the mean of the two middle values of an even number, None without values. Eager."""
+    found = order_statistics(rows, col, lambda n: [(n - 1) // 2, n // 2] if n else [])
+    return (min(found.values()) + max(found.values())) / 2 if found else None
+
+
 def similarity_summary(sims: DataFrame, col: str = "similarity", threshold: float = 0.95) -> DataFrame:
+    """One row of statistics; the median is an order statistic over range partitions. Eager."""
     s = F.col(col)
+    middle = F.lit(exact_median(sims, col)).cast("double")
     return sims.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(s), 6).alias("mean"),
-        F.round(F.median(s), 6).alias("median"),
+        F.round(middle, 6).alias("median"),
         F.round(F.stddev_pop(s), 6).alias("std"),
         F.round(F.min(s), 6).alias("min"),
         F.round(F.max(s), 6).alias("max"),
@@ -113,6 +149,13 @@ def similarity_summary(sims: DataFrame, col: str = "similarity", threshold: floa
     )
 
 
+def value_distribution(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """(name, n, percent) of every value, such as view counts or data types."""
+    counts = rows.groupBy(value.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(name, "n", F.round(F.col("n") / total * 100, 6).alias("percent"))
+
+
 def similarity_histogram(sims: DataFrame, low: float, high: float, col: str = "similarity", bins: int = 50) -> DataFrame:
     """Rows per equal-width bin of [low, high]; the upper edge belongs to the last bin."""
     b = F.least(F.width_bucket(F.col(col), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins))

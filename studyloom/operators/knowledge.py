@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+#: Codes of a chunk of a basket.
+CHUNK_CODES = 64
 RELATION_SCHEMA = "src string, tgt string, rel_type string, weight double, ord long"
 
 
@@ -42,35 +44,34 @@ def top_diseases(entities: DataFrame, k: int = 10) -> DataFrame:
 
 
 def cooccurrence(
-    diagnoses: DataFrame, *, basket: str, code: str, min_support: int = 10, min_confidence: float = 0.3
+    diagnoses: DataFrame, *, basket: str, code: str, min_support: int = 10, min_confidence: float = 0.3, chunk: int = CHUNK_CODES
 ) -> DataFrame:
     """Code pairs (a < b) that share at least ``min_support`` baskets.
 
     Confidence is support over the rarer code's baskets. Codes below the support
-    cannot be part of a pair and leave first. A basket then becomes one set of
-    distinct codes; pairs are counted where they arise, and only pair totals are
-    shuffled. The work per basket is bounded by the number of frequent codes.
+    cannot be part of a pair and leave first. A basket's codes are dealt into chunks of about ``chunk`` codes;
+    pairs inside a chunk come from its row, pairs of two chunks from a triangular grid of cells that meet by
+    (basket, chunk, chunk). So a basket of any size spreads over tasks, no array holds its pairs, and only pair
+    totals are shuffled.
     """
     once = diagnoses.select(basket, code).filter(F.col(code).isNotNull()).distinct()
     counts = once.groupBy(code).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
-    sets = (
-        once.join(counts.select(code), code, "left_semi")
-        .groupBy(basket)
-        .agg(F.array_sort(F.collect_set(code)).alias("codes"))
-        .filter(F.size("codes") > 1)
-    )
-    tails = F.transform(
-        "codes",
-        lambda a, i: F.transform(
-            F.slice("codes", i + 2, F.size("codes")), lambda b: F.struct(a.alias("a"), b.alias("b"))
-        ),
-    )
-    pairs = (
-        sets.select(F.explode(F.flatten(tails)).alias("p"))
-        .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("support"))
-        .filter(F.col("support") >= min_support)
-    )
+    kept = once.join(counts.select(code), code, "left_semi")
+    sizes = kept.groupBy(basket).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__parts"))
+    place = F.pmod(F.xxhash64(code), F.col("__parts")).alias("__i")
+    chunks = (
+        kept.join(sizes, basket).select(basket, code, "__parts", place)
+        .groupBy(basket, "__parts", "__i").agg(F.array_sort(F.collect_set(code)).alias("codes"))
+    )
+    inside = chunks.select("codes", F.posexplode("codes").alias("__p", "a"))
+    inside = inside.select("a", F.explode(F.slice("codes", F.col("__p") + 2, F.size("codes"))).alias("b"))
+    wide = chunks.filter("__parts > 1")
+    left = wide.filter("__i < __parts - 1").select(basket, "__i", F.explode(F.sequence(F.col("__i") + 1, F.col("__parts") - 1)).alias("__j"), F.col("codes").alias("__l"))
+    right = wide.filter("__i > 0").select(basket, F.col("__i").alias("__j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__i") - 1)).alias("__i"), F.col("codes").alias("__r"))
+    across = left.join(right, [basket, "__i", "__j"]).select(F.explode("__l").alias("x"), "__r").select("x", F.explode("__r").alias("y"))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = inside.unionByName(across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("support"))
+    pairs = pairs.filter(F.col("support") >= min_support)
     left = counts.select(F.col(code).alias("a"), F.col("n").alias("n_a"))
     right = counts.select(F.col(code).alias("b"), F.col("n").alias("n_b"))
     scored = pairs.join(left, "a").join(right, "b")
@@ -130,6 +131,14 @@ def knowledge_statistics(entities: DataFrame, relations: DataFrame) -> DataFrame
     return rows
 
 
+def relation_heads(links: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(head, tail): relations to the first ``n`` different targets of their source, by (ord, tgt), and the others."""
+    targets = links.groupBy("src", "tgt").agg(F.min("ord").alias("__o"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("__o", "tgt"))
+    first = cut_lineage(targets.withColumn("__r", rank).filter(F.col("__r") <= n).select("src", "tgt"), "heads")
+    return links.join(first, ["src", "tgt"], "left_semi"), links.join(first, ["src", "tgt"], "left_anti")
+
+
 def subgraph(
     seeds: DataFrame,
     entities: DataFrame,
@@ -147,6 +156,10 @@ def subgraph(
     while there is room; a source is visited only while there is room. Seeds that
     fill the limit are cut to the first codes and bring no relation. In the end
     everything is closed on codes known to the base.
+
+    Of a source only its first ``max_entities`` targets can join, as no more of them can be members already: these
+    are its head, and the only relations that meet every key. The rest of a hub's relations is asked only for pairs
+    of members, of which a key has a bounded number.
     """
     # every hop reads the members several times: each step is written once and read back
     known = entities.select("icd")
@@ -161,13 +174,15 @@ def subgraph(
     members = cut_lineage(members)
     parents = known.select(F.col("icd").alias("tgt"))
     links = relations.select("src", "tgt", "rel_type", "weight", "ord")
+    head, tail = relation_heads(links, max_entities)
+    hubs = tail.select("src").distinct()
     edges = None
     frontier = members
     for _ in range(max_hop):
         # one row per key that still has room
         room = members.groupBy(key).agg((F.lit(max_entities) - F.count(F.lit(1))).alias("room")).filter("room > 0")
         front = frontier.join(room, key)
-        direct = front.join(links, front["icd"] == links["src"]).select(
+        direct = front.join(head, front["icd"] == head["src"]).select(
             key, "room", "src", "tgt", "rel_type", "weight", F.struct(F.lit(0).alias("last"), "ord", "tgt").alias("o")
         )
         up = (
@@ -200,6 +215,10 @@ def subgraph(
         edges = kept if edges is None else edges.unionByName(kept)
         frontier = fresh.select(key, F.col("tgt").alias("icd"))
         members = members.unionByName(frontier)
+        asked = front.select(key, F.col("icd").alias("src")).join(hubs, "src", "left_semi").join(last, key, "left")
+        asked = asked.filter(F.col("last_src").isNull() | (F.col("src") <= F.col("last_src"))).drop("last_src")
+        beyond = asked.join(members.select(key, F.col("icd").alias("tgt")), key).join(tail, ["src", "tgt"])
+        edges = edges.unionByName(beyond.select(key, "src", "tgt", "rel_type", "weight"))
     nodes = members.join(known, "icd", "left_semi")
     ends = known.select(F.col("icd").alias("src")), known.select(F.col("icd").alias("tgt"))
     return nodes, edges.join(ends[0], "src", "left_semi").join(ends[1], "tgt", "left_semi")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..conf import disease_tables as D
 from ..operators import knowledge as K
 from ..operators.patient import history_diagnoses
+from ..operators.scale import prefix_sums
+from ..operators.timeline import BUCKET, code_marks
 from ..session import cut_lineage
 
 
@@ -28,3 +30,31 @@ def build_kb(studies: DataFrame, min_support: int = 10, min_confidence: float =
         min_support=min_support,
         min_confidence=min_confidence,
     )
+
+
+def build_kb_from_timelines(
+    timeline: DataFrame, marks: DataFrame, *, subject: str, key: str, min_support: int = 10, min_confidence: float = 0.3,
+    categories=D.CATEGORIES, relations=D.MEDICAL_RELATIONS,
+) -> tuple[DataFrame, DataFrame]:
+    """``build_kb`` from timelines and marks (operators.timeline), without a history per study.
+
+    A diagnosis counts once for every study that sees it, which is the number of marks behind its position, and a
+    code's baskets are the studies that have seen it. The name of a code is its first description in the history of
+    the first study (by key) that has it.
+    """
+    codes = cut_lineage(code_marks(timeline, marks, subject=subject, key=key), "codes")
+    # marks with end <= position, as a sum over the places before position + 1
+    at = timeline.select(subject, "icd", (F.col("position") + 1).alias("place"))
+    stops = marks.select(subject, F.col("end").alias("place"), F.lit(1).alias("n")).unionByName(at.select(subject, "place", F.lit(0).alias("n")))
+    blind = prefix_sums(stops, [subject], "place", F.floor(F.col("place") / BUCKET), {"blind": F.col("n")})
+    studies = marks.groupBy(subject).agg(F.count(F.lit(1)).alias("all"))
+    seen = at.join(blind, [subject, "place"]).join(studies, subject)
+    frequency = seen.groupBy("icd").agg(F.sum(F.col("all") - F.col("blind")).alias("frequency")).filter("frequency > 0")
+    first = codes.groupBy("icd").agg(F.min_by(F.struct(subject, F.col("ord").alias("position")), F.struct(key, "ord")).alias("f")).select("icd", "f.*")
+    names = first.join(timeline.select(subject, "position", F.col("description").alias("name")), [subject, "position"])
+    entities = names.join(frequency, "icd").select(
+        "icd", "name", F.lit("disease").alias("type"), K.category_of(F.col("icd"), categories).alias("category"), "frequency"
+    )
+    mined = K.cooccurrence(codes, basket=key, code="icd", min_support=min_support, min_confidence=min_confidence)
+    fixed = K.fixed_relations(timeline.sparkSession, relations)
+    return entities, fixed.unionByName(K.cooccurrence_relations(mined, len(relations)))
