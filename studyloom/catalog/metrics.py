@@ -119,3 +119,45 @@ def rouge_l_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.graph_f1(token_pairs(spark, sf_dir), "pair_id", "ref", "hyp")
+
+
+def word_graph(rows: DataFrame, keys: list[str], words: str) -> tuple[DataFrame, DataFrame]:
+    """A text's words as typed entities, each related to the word after it where both are long."""
+    nodes = rows.select(*keys, F.posexplode(words).alias("eid", "tokens"))
+    kind = F.when(F.length("tokens") > 4, "long").otherwise("short")
+    entities = nodes.select(*keys, "eid", "tokens", kind.alias("entity_type"))
+    both = F.transform(words, lambda w, i: (F.length(w) > 4) & (F.length(F.get(F.col(words), i + 1)) > 4))
+    links = rows.select(*keys, F.posexplode(both).alias("eid", "linked")).filter("linked")
+    return entities, links.select(*keys, "eid", F.lit("precedes").alias("rel_type"), (F.col("eid") + 1).alias("target"))
+
+
+def typed_sql(src: str, keys: str, level: str = "partial") -> str:
+    """CTE gf(keys, g): the same comparison of the word graphs of ``src`` (keys, ref, hyp)."""
+    triples = "" if level != "complete" else (
+        f" UNION SELECT {keys}, s, n || chr(2) || 'precedes' || chr(2) || nx FROM gn WHERE has"
+    )
+    return f"""gw AS (SELECT {keys}, 'r' AS s, generate_subscripts(ref, 1) AS i, lower(unnest(ref)) AS w FROM {src}
+  UNION ALL SELECT {keys}, 'h', generate_subscripts(hyp, 1), lower(unnest(hyp)) FROM {src}),
+gt AS (SELECT {keys}, s, i, w || chr(1) || CASE WHEN length(w) > 4 THEN 'long' ELSE 'short' END AS n, length(w) > 4 AS l FROM gw),
+gn AS (SELECT *, lead(n) OVER v AS nx, coalesce(l AND lead(l) OVER v, false) AS has FROM gt WINDOW v AS (PARTITION BY {keys}, s ORDER BY i)),
+gk AS (SELECT {keys}, s, n || chr(1) || CASE WHEN has THEN '+' ELSE '-' END AS k FROM gn{triples}),
+gd AS (SELECT {keys}, k, count(DISTINCT s) AS sides FROM gk GROUP BY ALL),
+gf AS (SELECT {keys}, round(2 * count(*) FILTER (sides = 2) / CAST(sum(sides) AS DOUBLE), 6) AS g FROM gd GROUP BY {keys})"""
+
+
+def _graph_pairs(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    rows = cut_lineage(token_pairs(spark, sf_dir))
+    ref, hyp = (word_graph(rows, ["pair_id"], c) for c in ("ref", "hyp"))
+    return M.typed_graph_f1(ref, hyp, "pair_id", level)
+
+
+@query("graph_f1_partial", f"WITH {TOKENS_SQL}, {typed_sql('tok', 'pair_id')} SELECT pair_id, g AS graph_f1 FROM gf")
+def graph_f1_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities match by tokens, type and whether they have a relation."""
+    return _graph_pairs(spark, sf_dir, "partial")
+
+
+@query("graph_f1_complete", f"WITH {TOKENS_SQL}, {typed_sql('tok', 'pair_id', 'complete')} SELECT pair_id, g AS graph_f1 FROM gf")
+def graph_f1_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations count as facts of their own."""
+    return _graph_pairs(spark, sf_dir, "complete")

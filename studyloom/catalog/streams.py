@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..session import scratch_path
+from ..sources import readers
 from ..streaming import jobs as J
 from . import query
-from .tables import table
+from .tables import PAIRS_SQL, pairs, table
 from .texts import ROUTED_SQL, raw_report
 
 GAP, DELAY = "30 minutes", "2 hours"
@@ -31,9 +33,8 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, J.clean_stream(raw), "stream-clean").select("doc_id", "status", "report")
 
 
-def _images(events: DataFrame) -> DataFrame:
-    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    return J.group_images(rows, "user_id", "ts", GAP, DELAY, ["event_id"])
+def _rows(events: DataFrame) -> DataFrame:
+    return events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
 def _shown(grouped: DataFrame) -> DataFrame:
@@ -48,22 +49,42 @@ def _shown(grouped: DataFrame) -> DataFrame:
 
 @query("session_images", f"WITH {_SESSION_SQL} SELECT * FROM g")
 def session_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_images(table(spark, sf_dir, "events")))
+    return _shown(J.group_images(_rows(table(spark, sf_dir, "events")), "user_id", "ts", GAP, ["event_id"]))
 
 
-@query(
-    "stream_session",
-    f"WITH {_SESSION_SQL} SELECT * FROM g WHERE closed_us <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - 7200000000",
-)
+@query("stream_session", f"WITH {_SESSION_SQL} SELECT * FROM g")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Studies the watermark has closed; the rest stays in state for the next run."""
-    events = J.read_parquet_stream(spark, sf_dir, "events.parquet")
-    return _shown(_run(spark, _images(events), "stream-session"))
+    """Studies closed by the watermark in a first run, and those still open by an end mark in a second."""
+    base = scratch_path(spark, "stream-session")
+    rows = _rows(table(spark, sf_dir, "events"))
+    for end in (False, True):
+        if end:
+            J.end_mark(rows, "ts", f"{base}/marks", "1 day")
+        stream = J.with_end_marks(_rows(J.read_parquet_stream(spark, sf_dir, "events.parquet")), "ts", f"{base}/marks")
+        closed = J.run_available(J.closed_studies(stream, "user_id", "ts", GAP, DELAY), f"{base}/out", f"{base}/checkpoint")
+    return _shown(J.with_images(closed, rows, "user_id", "ts", ["event_id"]))
+
+
+@query("stream_dedup", "SELECT user_id AS study_id, min(epoch_us(ts)) AS first_us, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run twice over the same files with checkpoints of their own: the second run appends nothing."""
+    base = scratch_path(spark, "stream-dedup")
+    for run in (1, 2):
+        rows = _rows(J.read_parquet_stream(spark, sf_dir, "events.parquet")).withColumnRenamed("user_id", "study_id")
+        kept = J.append_new(rows, f"{base}/out", f"{base}/checkpoint{run}", "study_id", ["ts", "event_id"])
+    return kept.select("study_id", F.unix_micros("ts").alias("first_us"), "event_id")
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id AS study_id FROM events")
-def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = J.read_parquet_stream(spark, sf_dir, "events.parquet")
-    rows = events.select(F.col("user_id").alias("study_id"), F.col("ts").cast("timestamp").alias("ts"))
-    kept = J.first_per_key(rows, "study_id", "ts", "3650 days")
-    return _run(spark, kept, "stream-dedup").select("study_id")
+@query(
+    "prediction_append",
+    f"""WITH {PAIRS_SQL} SELECT CAST(pair_id AS VARCHAR) AS study_id, ref AS real_report, hyp AS generated_report, 'first' AS selected_method FROM pairs""",
+)
+def prediction_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction lines of two runs: the second finds all studies done and adds none."""
+    base = scratch_path(spark, "predictions")
+    made = pairs(spark, sf_dir).select(F.col("pair_id").cast("string").alias("study_id"), F.col("ref").alias("real_report"), F.col("hyp").alias("generated_report"))
+    for run in ("first", "second"):
+        made.withColumn("selected_method", F.lit(run)).write.parquet(f"{base}/in/{run}")
+        stream = spark.readStream.schema(schemas.PREDICTION).parquet(f"{base}/in/{run}")
+        J.append_new(stream, f"{base}/out", f"{base}/{run}", "study_id", ["generated_report"], "json")
+    return readers.read_json_lines(spark, f"{base}/out/*")[0]

@@ -56,9 +56,13 @@ def evaluate(
     key: str = "study_id",
     order: str | None = None,
     keywords: Sequence[tuple[str, str]] = FINDING_KEYWORDS,
+    graphs: tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """One row in the metric columns. METEOR needs an external scorer and stays 0.
 
+    ``graphs`` are the (entities, relations) of the real and of the generated reports, keyed like the predictions;
+    a pair without facts counts 0, and without ``graphs`` RadGraph_F1 is null.
+
     Cleaning runs once and is written; every metric is one pass over that table,
     and the single-row results meet as scalars.
     """
@@ -68,7 +72,10 @@ def evaluate(
     bleu = M.corpus_bleu(counts).select(F.struct("*")).scalar()
     rouge = M.corpus_mean(M.rouge_l(pairs, key), "rouge_l").scalar()
     cider = M.corpus_mean(M.cider(counts, key, M.pair_total(base)), "cider").scalar()
-    graph = M.corpus_mean(M.graph_f1(pairs, key, "ref", "hyp"), "graph_f1").scalar()
+    graph = F.lit(None).cast("double")
+    if graphs:
+        scored = base.select(key).join(M.typed_graph_f1(*graphs, key), key, "left").fillna(0.0, ["graph_f1"])
+        graph = M.corpus_mean(scored, "graph_f1").scalar()
     prf = L.micro_prf(label_pairs(base, key, keywords)).select(F.struct("*")).scalar()
     row = predictions.sparkSession.range(1).select(
         F.lit(timestamp).alias("eval_timestamp"),
@@ -81,4 +88,4 @@ def evaluate(
         prf["precision"].alias("CheXpert_P"),
         prf["recall"].alias("CheXpert_R"),
     )
-    return align_metrics(row)
+    return align_metrics(row, unknown=["RadGraph_F1"])

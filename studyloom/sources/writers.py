@@ -21,14 +21,15 @@ def write_studies(studies: DataFrame, path: str, fmt: str = "parquet", mode: str
         studies.write.mode(mode).parquet(path)
 
 
-def align_metrics(rows: DataFrame, columns: Sequence[str] = schemas.METRIC_COLUMNS) -> DataFrame:
-    """Metric rows in the fixed column order, four decimals, missing metrics 0."""
+def align_metrics(rows: DataFrame, columns: Sequence[str] = schemas.METRIC_COLUMNS, unknown: Sequence[str] = ()) -> DataFrame:
+    """Metric rows in the fixed column order, four decimals, missing metrics 0, those in ``unknown`` null."""
     out = []
     for c in columns:
         if c in ("eval_timestamp", "report_file"):
             out.append(F.col(f"`{c}`").alias(c) if c in rows.columns else F.lit("").alias(c))
         else:
-            value = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0)
+            none = F.lit(None).cast("double") if c in unknown else F.lit(0.0)
+            value = F.coalesce(F.col(f"`{c}`").cast("double"), none) if c in rows.columns else none
             out.append(F.round(value, 4).alias(c))
     return rows.select(*out)
 

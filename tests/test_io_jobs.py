@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from studyloom.conf import prompts as PR
 from studyloom.operators import candidates as C
+from studyloom.operators import metrics as M
 from studyloom.operators import studies as S
 from studyloom.functions import ids
 from studyloom.plans.evaluate import evaluate
@@ -121,4 +122,23 @@ def test_evaluation_dedupes_and_scores_identity(spark):
     rows = [("1", "old text here", "bad", 0), ("1", "heart is big today ok", "heart is big today ok", 1), ("2", "", "x", 2)]
     df = spark.createDataFrame(rows, "study_id string, real_report string, generated_report string, ord int")
     r = evaluate(df, report_file="f", timestamp="t", order="ord").first()
-    assert r["BLEU-4"] == 1.0 and r["ROUGE-L"] == 1.0 and r["METEOR"] == 0.0 and r["RadGraph_F1"] == 1.0
+    assert r["BLEU-4"] == 1.0 and r["ROUGE-L"] == 1.0 and r["METEOR"] == 0.0 and r["RadGraph_F1"] is None
+    entities = spark.createDataFrame([("1", 0, "heart", "ANAT"), ("1", 1, "big", "OBS")], "study_id string, eid int, tokens string, entity_type string")
+    links = spark.createDataFrame([("1", 1, "modify", 0)], "study_id string, eid int, rel_type string, target int")
+    same = (entities, links)
+    other = (entities, links.filter("false"))
+    assert evaluate(df, report_file="f", timestamp="t", order="ord", graphs=(same, same)).first()["RadGraph_F1"] == 1.0
+    assert evaluate(df, report_file="f", timestamp="t", order="ord", graphs=(same, other)).first()["RadGraph_F1"] == 0.5
+
+
+def test_typed_graph_f1_levels(spark):
+    cols = "k int, eid int, tokens string, entity_type string"
+    a = spark.createDataFrame([(1, 0, "Lung", "ANAT"), (1, 1, "opacity", "OBS"), (1, 2, "opacity", "OBS"), (2, 0, "rib", "ANAT")], cols)
+    b = spark.createDataFrame([(1, 5, "lung", "ANAT"), (1, 6, "opacity", "OBS"), (1, 7, "edema", "OBS"), (3, 0, "rib", "ANAT")], cols)
+    links = "k int, eid int, rel_type string, target int"
+    ra = spark.createDataFrame([(1, 1, "located_at", 0), (1, 1, "located_at", 99)], links)
+    rb = spark.createDataFrame([(1, 6, "located_at", 5), (1, 7, "located_at", 5)], links)
+    got = {level: {r["k"]: r["graph_f1"] for r in M.typed_graph_f1((a, ra), (b, rb), "k", level).collect()} for level in M.GRAPH_LEVELS}
+    assert got["simple"] == {1: 0.8, 2: 0.0, 3: 0.0}
+    # facts of 1: lung -, opacity +, opacity - / lung -, opacity +, edema +; with the triples one more each in common, one alone
+    assert got["partial"][1] == round(2 * 2 / 6, 6) and got["complete"][1] == round(2 * 3 / 9, 6)
