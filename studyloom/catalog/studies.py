@@ -322,6 +322,21 @@ def deletion_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "deletion_log",
+    r"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'images/p10/s' || doc_id END AS target FROM documents
+           WHERE trim(regexp_replace(regexp_replace(text, '[A-Za-z\s]+', '', 'g'), '[.,]+', '', 'g')) = ''),
+l AS (SELECT 'images/p10/s' || conv_id AS target, count(*) AS num_files, CAST(sum(length(text)) AS BIGINT) AS bytes FROM conversations GROUP BY 1)
+SELECT '2024-01-01T00:00:00' AS timestamp, true AS dry_run, count(*) AS targets, count(num_files) AS found,
+  count(e.target) - count(num_files) AS not_found, count(*) - count(e.target) AS path_errors,
+  CAST(coalesce(sum(num_files), 0) AS BIGINT) AS num_files, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM e LEFT JOIN l ON l.target = e.target""",
+)
+def deletion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import scratch_path
+
+    return S.write_deletion_log(deletion_manifest(spark, sf_dir), scratch_path(spark, "deletion"), "2024-01-01T00:00:00")
+
+
 @query(
     "case_database",
     """

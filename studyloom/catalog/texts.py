@@ -435,14 +435,12 @@ def _rule_sql(rules, blank: str) -> str:
     )
     return (
         f"SELECT doc_id, CASE WHEN {strip_sql('text')} = '' THEN '{blank}' {cases} ELSE 'Other' END AS label "
-        "FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS text FROM documents)"
+        "FROM documents"
     )
 
 
 def _diagnosed(spark: SparkSession, sf_dir: str, rules, blank: str | None) -> DataFrame:
-    """Every eleventh text is blank."""
-    text = F.when(F.col("doc_id") % 11 == 0, " ").otherwise(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", T.rule_label(text, rules, blank=blank).alias("label"))
+    return documents(spark, sf_dir).select("doc_id", T.rule_label(F.col("text"), rules, blank=blank).alias("label"))
 
 
 @query("diagnosis_patch", _rule_sql(DIAGNOSIS_RULES_PATCH, "Unknown"))
@@ -467,14 +465,33 @@ def keyword_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "text_fallback",
-    """SELECT doc_id, length(CASE WHEN length(CASE WHEN doc_id % 3 = 0 THEN 'abc' ELSE text END) < 5 THEN source
-                             ELSE text END) AS n_chars_used,
+    """SELECT doc_id, length(CASE WHEN length(source) < 5 THEN text ELSE source END) AS n_chars_used,
       substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 150) AS clamped FROM documents""",
 )
 def text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.when(F.col("doc_id") % 3 == 0, "abc").otherwise(F.col("text"))
+    """Short sources fall back to the text."""
     return documents(spark, sf_dir).select(
         "doc_id",
-        F.length(T.text_or_fallback(first, F.col("source"))).cast("bigint").alias("n_chars_used"),
+        F.length(T.text_or_fallback(F.col("source"), F.col("text"))).cast("bigint").alias("n_chars_used"),
         T.clamp(F.col("text"), 150).alias("clamped"),
     )
+
+
+@query(
+    "empty_reports_json",
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[A-Za-z\s]+', '', 'g'), '[.,]+', '', 'g')) = '' AS empty FROM documents""",
+)
+def empty_reports_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report objects of which plain words are stripped: empty if no string holds anything else."""
+    rest = F.regexp_replace(F.regexp_replace("text", r"[A-Za-z\s]+", ""), "[.,]+", "")
+    report = F.to_json(F.struct(rest.alias("findings"), F.lit(" ").alias("impression")))
+    return documents(spark, sf_dir).select("doc_id", T.is_report_empty(report, "json").alias("empty"))
+
+
+@query("build_counters_observed", f"WITH {ROUTED_SQL} SELECT count(*) AS file_verified, count(*) FILTER (status = 'valid') AS reports_cleaned, count(*) FILTER (status = 'rejected_toxic') AS rejected_toxic, count(*) FILTER (status = 'rejected_quality') AS rejected_quality, count(*) FILTER (findings_filled) AS findings_filled, count(*) FILTER (status = 'valid') AS final_records FROM routed")
+def build_counters_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of the job that writes the routed reports, measured while it runs."""
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "routed")
+    return R.write_routed(R.route_reports(raw_reports(spark, sf_dir)), path)

@@ -163,5 +163,5 @@ def similarity_histogram(sims: DataFrame, low: float, high: float, col: str = "s
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows chosen by a hash of key and seed: the same rows for any partitioning."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """``n`` rows chosen by the md5 of key and seed: the same rows for any partitioning."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)).limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,15 +55,27 @@ def route_reports(reports: DataFrame, raw: str = "report_raw", min_chars: int =
 
 def build_counters(routed: DataFrame) -> DataFrame:
     """One row of counters over routed reports."""
+    return routed.agg(*_counters())
+
+
+def _counters() -> list[Column]:
     is_ = lambda s: F.col("status") == s
-    return routed.agg(
+    return [
         F.count(F.lit(1)).alias("file_verified"),
         F.count_if(is_(VALID)).alias("reports_cleaned"),
         F.count_if(is_(TOXIC)).alias("rejected_toxic"),
         F.count_if(is_(QUALITY)).alias("rejected_quality"),
         F.count_if("findings_filled").alias("findings_filled"),
         F.count_if(is_(VALID)).alias("final_records"),
-    )
+    ]
+
+
+def write_routed(routed: DataFrame, path: str) -> DataFrame:
+    """Writes the valid reports as Parquet and returns the counters of all, measured in the same run."""
+    seen = Observation("build counters")
+    columns = [c for c in routed.columns if c not in ("status", "findings_filled")]
+    routed.observe(seen, *_counters()).filter(F.col("status") == VALID).select(*columns).write.parquet(path)
+    return routed.sparkSession.createDataFrame([tuple(seen.get.values())], ", ".join(f"{name} long" for name in seen.get))
 
 
 def change_counts(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -145,6 +145,32 @@ def deletion_manifest(
     )
 
 
+def write_deletion_log(manifest: DataFrame, path: str, timestamp: str, dry_run: bool = True) -> DataFrame:
+    """Writes the manifest as JSON lines below ``path``, and the record of the run beside it; returns the record.
+
+    (timestamp, dry_run, targets, found, not_found, path_errors, num_files, bytes), counted while the manifest is
+    written. Nothing is deleted here; ``dry_run`` only says so.
+    """
+    is_ = lambda s: F.col("status") == s
+    seen = Observation("deletion log")
+    sums = {"num_files": "num_files", "bytes": "bytes"}
+    counted = manifest.observe(
+        seen,
+        F.count(F.lit(1)).alias("targets"),
+        F.count_if(is_(STATUS_FOUND)).alias("found"),
+        F.count_if(is_(STATUS_MISSING)).alias("not_found"),
+        F.count_if(is_(STATUS_BAD_PATH)).alias("path_errors"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name) for name, c in sums.items()],
+    )
+    counted.write.json(f"{path}/details")
+    names = list(seen.get)
+    record = manifest.sparkSession.createDataFrame(
+        [(timestamp, dry_run, *seen.get.values())], "timestamp string, dry_run boolean, " + ", ".join(f"{n} long" for n in names)
+    )
+    record.coalesce(1).write.json(f"{path}/record")
+    return record
+
+
 def id_profile(df: DataFrame, col: str) -> DataFrame:
     """Distinct ids in order with the number of rows each has."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows")).orderBy(col)

@@ -16,9 +16,7 @@ HISTORY = (
     "diagnoses:array<struct<seq_num:int,icd_code:string,description:string>>,"
     "drg:struct<description:string,drg_severity:double,drg_mortality:double>>>"
 )
-REPORT_GRAPH = (
-    "map<string,struct<entities:map<string,struct<tokens:string,label:string,relations:array<array<string>>>>>>"
-)
+REPORT_ENTITIES = "map<string,struct<tokens:string,label:string,relations:array<array<string>>>>"
 VECTOR = "study_id long, vec array<float>"
 
 METRIC_COLUMNS = (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from studyloom.conf import prompts as PR
 from studyloom.operators import candidates as C
 from studyloom.operators import metrics as M
+from studyloom.operators import features as X
 from studyloom.operators import studies as S
 from studyloom.functions import ids
 from studyloom.plans.evaluate import evaluate
@@ -66,6 +67,51 @@ def test_graphs_vectors_texts(spark, tmp_path):
     assert [tuple(r) for r in readers.list_files(spark, str(tmp_path / "files")).collect()] == [("p10/s5.txt", 17)]
 
 
+def test_large_object_is_read_by_byte_ranges(spark, tmp_path):
+    """Ranges of a few bytes cut names, texts and graphs anywhere; odd texts stand before and after the entities."""
+    graphs, want, links = {}, {}, {}
+    for i in range(1, 60):
+        nodes = {str(k): {"tokens": f'w{k} "entities" é\\', "label": "OBS", "relations": [["modify", str(k - 1)]] if k else []} for k in range(i % 4)}
+        graphs[f"files/p10/s{i}.txt"] = {"text": f'see "entities": {{ {i}, ', "n": i, "entities": nodes, "data_source": None, "data_split": "x", "more": [1, {"a": 2}]}
+        want[i], links[i] = i % 4, max(0, i % 4 - 1)
+    (tmp_path / "g.json").write_text(json.dumps(graphs, indent=1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.option("lineSep", '"entities":').text(str(tmp_path / "g.json")).rdd.getNumPartitions() > 10
+        ent, rel = readers.read_report_graphs(spark, str(tmp_path / "g.json"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    rows = ent.collect()
+    assert {i: sum(r["case_id"] == i for r in rows) for i in want} == want and {r["tokens"] for r in rows} == {f'w{k} "entities" é\\' for k in range(3)}
+    assert {r["case_id"]: r["n"] for r in rel.groupBy("case_id").agg(F.count("*").alias("n")).collect()} == {i: n for i, n in links.items() if n}
+
+
+def test_vector_files_tell_what_was_dropped(spark, tmp_path):
+    np.save(tmp_path / "7.npy", np.ones((1, 3), dtype=np.float64))
+    np.save(tmp_path / "8.npy", np.arange(2, dtype=np.float32))
+    np.save(tmp_path / "9.npy", np.ones((4, 3), dtype=np.float32))
+    np.save(tmp_path / "name.npy", np.ones(3, dtype=np.float32))
+    (tmp_path / "5.npy").write_bytes(b"")
+    (tmp_path / "6.npy").write_bytes(b"junk")
+    good, bad = readers.read_vector_files(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in good.collect()) == [(7, [1.0] * 3, "float64", "(1, 3)"), (8, [0.0, 1.0], "float32", "(2,)")]
+    found = {r["path"]: r["problem"] for r in bad.collect()}
+    assert set(found) == {"6.npy", "9.npy", "name.npy"} and all(found.values())  # Spark lists no file of length 0
+    kinds = X.value_distribution(good, F.col("dtype"), "dtype").collect()
+    assert sorted(tuple(r) for r in kinds) == [("float32", 1, 50.0), ("float64", 1, 50.0)]
+
+
+def test_vector_faults(spark):
+    rows = [(None, 3), ([1.0, float("nan"), 0.0], 3), ([1.0, float("inf"), 0.0], 3), ([1.0, 2.0], 3), ([1.0, 2.0, 3.0], None), ([1.0, 2.0, 3.0], 3)]
+    df = spark.createDataFrame(rows, "v array<float>, dim int")
+    assert [r["status"] for r in X.integrity(df, "v", F.col("dim")).collect()] == ["missing", "nan", "inf", "bad_dim", "missing_meta", "ok"]
+    two = X.integrity(df.filter("dim = 3 and size(v) = 3"), "v", F.col("dim"), F.lit(1), F.lit(2))
+    assert {r["status"] for r in two.collect()} == {"nan", "inf", "bad_rows"}
+
+
 def test_csv_projection_by_name(spark, tmp_path):
     (tmp_path / "m.csv").write_text("extra,icd_code,hadm_id\nx,038,1\ny,4280,2\n")
     df = readers.read_csv(spark, str(tmp_path / "m.csv"), "hadm_id long, icd_code string")
