@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..conf.keywords import RELEVANCE_KEYWORDS, UNKNOWN_TITLES
 from ..functions import ids
 from ..operators import history as H
 from ..operators import knowledge as K
@@ -289,15 +290,19 @@ evi AS MATERIALIZED (SELECT d.study_id, d.icd, list(e.finding ORDER BY e.i) AS e
   JOIN exf e ON e.icd = d.icd JOIN fnd f ON f.study_id = d.study_id AND f.finding = e.finding GROUP BY 1, 2)"""
 
 
-def evidence(spark: SparkSession, sf_dir: str, codes: DataFrame) -> DataFrame:
+def past_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(study_id, finding) of the last reports before each study."""
     from ..operators.findings import history_findings
 
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     past = H.past_reports(
         orders, subject="o_custkey", study_time="o_orderdate", study_id="o_orderkey", text="o_orderpriority", min_chars=5
     )
-    found = history_findings(past.select(F.col("o_orderkey").alias("study_id"), "past_reports"), "study_id", "past_reports", FINDING_WORDS)
-    return cut_lineage(P.imaging_evidence(codes, found, "study_id", CODE_FINDINGS))
+    return history_findings(past.select(F.col("o_orderkey").alias("study_id"), "past_reports"), "study_id", "past_reports", FINDING_WORDS)
+
+
+def evidence(spark: SparkSession, sf_dir: str, codes: DataFrame) -> DataFrame:
+    return cut_lineage(P.imaging_evidence(codes, past_findings(spark, sf_dir), "study_id", CODE_FINDINGS))
 
 
 @query("imaging_evidence", f"WITH {DIAG_SQL}, {_EVIDENCE_SQL} SELECT study_id, icd, array_to_string(evidence, ',') AS evidence FROM evi")
@@ -380,19 +385,15 @@ pe AS MATERIALIZED (SELECT e.study_id, e.src, e.tgt, e.rel_type, e.weight * (a.w
 
 @dataclass(frozen=True)
 class PatientGraphs:
-    """Graphs of all studies and the states of the timelines that they were made from.
+    """Graphs of all studies, with the codes of their histories.
 
     Steps of the timeline are rows of the result where a query asks for them; only there a history is long.
     """
 
-    timeline: DataFrame
-    marks: DataFrame
     codes: DataFrame
-    primary: DataFrame
-    evidence: DataFrame
     nodes: DataFrame
     edges: DataFrame
-    steps: DataFrame | None
+    steps: DataFrame
 
 
 def patient_graphs(spark: SparkSession, sf_dir: str, with_steps: bool = False) -> PatientGraphs:
@@ -407,7 +408,7 @@ def patient_graphs(spark: SparkSession, sf_dir: str, with_steps: bool = False) -
     else:
         steps = spark.createDataFrame([], "study_id long, src_ord int, src string, tgt string, gap_months double")
     nodes, edges = P.weighted_graph(codes, weights, steps, ent, rel, key="study_id", max_entities=MAX_ENTITIES)
-    return PatientGraphs(*states, codes, primary, ev, nodes, edges, steps)
+    return PatientGraphs(codes, nodes, edges, steps)
 
 
 @query(
@@ -503,11 +504,12 @@ ctext AS (SELECT p.study_id, 'CLINICAL CONTEXT:' || chr(10) || '- Primary: ' ||
 
 
 def clinical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = patient_graphs(spark, sf_dir)
-    recurrent = L.recurrent_state(g.timeline, g.marks, **_KEYS)
-    return P.clinical_summary(
-        g.primary, recurrent, g.nodes, key="study_id", by_code=CODE_FINDINGS, by_prefix=PREFIX_FINDINGS, evidence=g.evidence
-    )
+    from ..plans.make_prompts import history_prompts
+
+    return history_prompts(
+        *timelines(spark, sf_dir), *knowledge(spark, sf_dir), **_KEYS, found=past_findings(spark, sf_dir),
+        max_entities=MAX_ENTITIES, by_code=CODE_FINDINGS, by_prefix=PREFIX_FINDINGS,
+    )
 
 
 @query("clinical_text", f"WITH {TEXT_SQL} SELECT * FROM ctext")
@@ -556,3 +558,39 @@ SELECT src, tgt, rel_type, round(weight, 6) AS weight, CAST(ord AS BIGINT) AS or
 )
 def kb_build_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir)[1].withColumn("weight", F.round("weight", 6))
+
+
+# descriptions of a clinical kind, some of which name a keyword and some of which are unknown titles
+_DESCRIPTION_SQL = "CASE WHEN contains(p_name, 'rod') THEN 'Unknown ICD Code' ELSE replace(replace(replace(p_name, 'ring', 'Heart valve'), 'bolt', 'RIB fracture'), 'red', 'lung') END"
+_RELEVANT_SQL = "(" + " OR ".join(f"contains(lower(d), '{w}')" for w in RELEVANCE_KEYWORDS) + ") AND d NOT IN ({})".format(", ".join(f"'{t}'" for t in UNKNOWN_TITLES))
+
+
+@query(
+    "history_context_job",
+    f"""WITH {LINES_SQL},
+rk AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn FROM ln),
+dx AS (SELECT s.o_orderkey AS study_id, {_DESCRIPTION_SQL} AS d, l_linenumber AS seq, row_number() OVER (PARTITION BY s.o_orderkey ORDER BY a.o_orderdate, a.o_orderkey, rn) AS ord
+  FROM orders s JOIN orders a ON a.o_custkey = s.o_custkey AND a.o_orderdate < s.o_orderdate JOIN rk ON l_orderkey = a.o_orderkey AND rn <= 15),
+f AS (SELECT study_id, d, arg_min(seq, ord) AS seq, min(ord) AS ord FROM dx WHERE {_RELEVANT_SQL} GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY seq, ord) AS rn FROM f),
+dia AS (SELECT study_id, string_agg('- ' || d, chr(10) ORDER BY rn) AS t FROM o WHERE rn <= 30 GROUP BY 1),
+p AS (SELECT a.o_orderkey AS study_id, b.o_orderpriority AS report, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_orderdate DESC, b.o_orderkey DESC) AS back
+  FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderdate < a.o_orderdate),
+rep AS (SELECT study_id, string_agg('Past Report: ' || report, chr(10) || chr(10) ORDER BY back DESC) AS t FROM p WHERE back <= 2 AND length(report) >= 10 GROUP BY 1)
+SELECT o_orderkey AS study_id, CASE WHEN rep.t IS NULL THEN '' ELSE '[HISTORICAL IMAGING REPORTS]' || chr(10) || rep.t END ||
+    CASE WHEN rep.t IS NOT NULL AND dia.t IS NOT NULL THEN chr(10) || chr(10) ELSE '' END ||
+    CASE WHEN dia.t IS NULL THEN '' ELSE '[PATIENT MEDICAL HISTORY]' || chr(10) || dia.t END AS history_text
+FROM orders LEFT JOIN rep ON rep.study_id = o_orderkey LEFT JOIN dia ON dia.study_id = o_orderkey""",
+)
+def history_context_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job over the study table, with the list of relevant words and the unknown titles."""
+    from ..plans.history_context import history_contexts
+
+    adm, studies = admissions_and_studies(spark, sf_dir)
+    name = lambda d: F.when(d.contains("rod"), "Unknown ICD Code").otherwise(
+        F.replace(F.replace(F.replace(d, F.lit("ring"), F.lit("Heart valve")), F.lit("bolt"), F.lit("RIB fracture")), F.lit("red"), F.lit("lung"))
+    )
+    renamed = F.transform("diagnoses", lambda d: F.struct(d["seq_num"].alias("seq_num"), d["icd_code"].alias("icd_code"), name(d["description"]).alias("description")))
+    reports = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("study_id"), F.col("o_orderpriority").alias("report"))
+    studies = studies.withColumnRenamed("study_dt", "study_datetime").join(reports, "study_id")
+    return history_contexts(studies, adm.withColumn("diagnoses", renamed))

@@ -352,7 +352,7 @@ def case_database(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("study_id"))
         .agg(F.count(F.lit(1)).alias("n_entities"))
     )
-    cases = docs.join(vectors, "study_id").join(graphs, "study_id")
+    cases = S.case_database(vectors, graphs, docs, "study_id")
     return cases.select("study_id", "source", F.size("embedding").cast("bigint").alias("feature_dim"), "n_entities")
 
 

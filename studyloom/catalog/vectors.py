@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import features as X
 from ..operators import retrieval as R
+from ..operators import studies as S
 from . import query
 from .labels import soft_labels
 from .tables import table
@@ -319,11 +320,4 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(CAST(count(*) AS DOUBLE) / count(DISTINCT {_GROUPS}), 6) AS images_per_study, max(len(embedding)) AS feature_dim FROM embeddings""",
 )
 def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _studies(spark, sf_dir)
-    n, studies = F.count(F.lit(1)), F.countDistinct("study_id")
-    return rows.agg(
-        n.alias("num_images"),
-        studies.alias("num_studies"),
-        F.round(n / studies, 6).alias("images_per_study"),
-        F.max(F.size("embedding")).cast("bigint").alias("feature_dim"),
-    )
+    return S.extraction_summary(_studies(spark, sf_dir), "study_id", "embedding")

@@ -145,6 +145,30 @@ def deletion_manifest(
     )
 
 
+def pick_cases(conditions: Sequence[DataFrame], key: str, n: int) -> DataFrame:
+    """The first ``n`` keys, in order, that every one of ``conditions`` has a row for."""
+    out = conditions[0].select(key).distinct()
+    for other in conditions[1:]:
+        out = out.join(other.select(key), key, "left_semi")
+    return out.orderBy(key).limit(n)
+
+
+def case_database(vectors: DataFrame, graphs: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+    """One row per study that has a vector, a report and a graph; all three join on the study key."""
+    return reports.join(vectors, key).join(graphs, key)
+
+
+def extraction_summary(views: DataFrame, study: str, vec: str) -> DataFrame:
+    """One row: images, studies, images per study and the largest vector length of an extraction."""
+    n, studies = F.count(F.lit(1)), F.countDistinct(study)
+    return views.agg(
+        n.alias("num_images"),
+        studies.alias("num_studies"),
+        F.round(n / studies, 6).alias("images_per_study"),
+        F.max(F.size(vec)).cast("bigint").alias("feature_dim"),
+    )
+
+
 def write_deletion_log(manifest: DataFrame, path: str, timestamp: str, dry_run: bool = True) -> DataFrame:
     """Writes the manifest as JSON lines below ``path``, and the record of the run beside it; returns the record.
 

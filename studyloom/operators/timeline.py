@@ -36,7 +36,8 @@ def diagnosis_timeline(
 ) -> tuple[DataFrame, DataFrame]:
     """(timeline, sizes) of admissions with ``diagnoses``, arrays of (icd_code, description).
 
-    Admissions go by (discharge, admission); a diagnosis without code or description takes a position and no row.
+    Admissions go by (discharge, admission); a diagnosis without code or description takes a position and no row. Where
+    diagnoses have a ``seq_num``, it is kept.
     ``sizes`` has the admissions with ``n_diagnoses``, for ``study_marks``.
     """
     begun = F.col(discharge_time) if admit_time is None else F.least(F.col(admit_time), F.col(discharge_time))
@@ -47,8 +48,9 @@ def diagnosis_timeline(
         subject, "position", calendar_month(begun).alias("month"), sev.alias("severity"), F.posexplode("diagnoses").alias("__i", "d")
     )
     rows = rows.filter((F.coalesce("d.icd_code", F.lit("")) != "") & (F.coalesce("d.description", F.lit("")) != ""))
+    seq = ["d.seq_num"] if "seq_num" in admissions.schema["diagnoses"].dataType.elementType.names else []
     out = rows.select(
-        subject, (F.col("position") + F.col("__i")).alias("position"), F.col("d.icd_code").alias("icd"), "d.description", "severity", "month"
+        subject, *seq, (F.col("position") + F.col("__i")).alias("position"), F.col("d.icd_code").alias("icd"), "d.description", "severity", "month"
     )
     return out, sized
 
