@@ -36,8 +36,10 @@ def _segments(code: Column, segments: int) -> Column:
     return F.explode(F.array(*part))
 
 
-def _masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+def _masks(width: int, radius: int) -> Column:
+    """All values with ``radius`` of ``width`` bits, as one array: a text that the optimizer parses once, not a literal each."""
+    masks = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
@@ -60,9 +62,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     best: DataFrame | None = None
     for radius in range(width + 1):
         probes = open_.select("query", _segments(F.col("query"), segments).alias("s")).select("query", "s.*")
-        masks = F.explode(F.array(*[F.lit(m) for m in _masks(width, radius)]))
+        masks = F.explode(_masks(width, radius))
         probes = probes.select("query", "segment", "value", masks.alias("mask")).select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        found = probes.join(index, ["segment", "value"]).select("query", "code", "first", "n", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+        # the planner takes the probes for as few as their queries and would broadcast them
+        found = probes.hint("merge").join(index, ["segment", "value"]).select("query", "code", "first", "n", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         if best is not None:
             found = found.unionByName(best)
         found = found.distinct()
