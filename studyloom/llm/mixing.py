@@ -30,9 +30,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def topic_of(text: Column) -> Column:
+    """The topic by ``TOPICS``, whose words are looked for as such and whose signs stand before a pattern."""
+    low = F.lower(text)
+    legal = low.contains("license") | low.contains("licence") | low.contains("copyright") | low.contains("all rights reserved")
+    tests = {"legal": legal, "table": text.contains("|")}
+    tests["contact"] = text.contains("@") & text.rlike("[A-Za-z0-9._]@[A-Za-z0-9]")
     out = F.lit("prose")
     for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+        out = F.when(tests.get(name, text.rlike(pattern)), name).otherwise(out)
     return F.coalesce(out, F.lit("prose"))
 
 
@@ -77,7 +82,9 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.withColumns({**named, "__topic": topic_of(text), "__tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.7, sweeps: int = 12) -> DataFrame:
+def mix(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.7, sweeps: int = 12, rows: DataFrame | None = None
+) -> DataFrame:
     """Adds the columns __source, __lang, __topic, __tokens, __weight, __prob, __kept, __copies to every row.
 
     ``__weight`` is the calibrated weight per token of the row's cell (1 on average) and ``__copies`` how often the
@@ -85,9 +92,10 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     of at least one copy (``__weight``, at most 1) and ``__kept`` tells whether there is one; the kept rows alone
     do not have the target shares. Without ``targets`` each dimension's share is its present token share to ``power``. Null metadata form values of their
     own, documents without tokens are weighted as their cell is (a cell without any tokens: kept), and repeated
-    rows share one decision. An empty table gives an empty result.
+    rows share one decision. An empty table gives an empty result. ``rows`` is ``described(docs)`` where
+    that is at hand.
     """
-    rows = described(docs)
+    rows = described(docs) if rows is None else rows
     cells = rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens"))
     cells = cut_lineage(cells, "cells")
     if targets is None:
@@ -110,7 +118,9 @@ def sample_mix(docs: DataFrame, power: float = 0.7) -> DataFrame:
 
 def digest_mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, prob, kept of every row (weight and prob to 9 digits)."""
-    rows = mix(docs.select("doc_id", "source", "lang", "text"))
+    # texts are read once: cells and result come from what was found in them
+    rows = cut_lineage(described(docs.select("doc_id", "source", "lang", "text")).drop("text"), "described")
+    rows = mix(rows, rows=rows)
     return rows.select(
         "doc_id",
         F.col("__source").alias("source"),
