@@ -128,3 +128,11 @@ def with_scores(docs: DataFrame, name: str, score: Callable[[np.ndarray, np.ndar
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score(data, offsets), pa.float64())], [*names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so (Spark compares names without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

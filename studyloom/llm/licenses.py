@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.llm.arrays import free_name
+
 
 class Rule(NamedTuple):
     label: str
@@ -198,15 +200,16 @@ def scan_licenses(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     gate = "|".join(sorted({r.keyword for r in (*BASE, *found)}))
     none = F.array().cast("array<struct<label:string,priority:int,start:int,stop:int>>")
-    rows = docs.select(*kept, _words(F.col("text")).alias("__words"))
-    rows = rows.withColumn("__open", F.col("__words").rlike(f" (?:{gate}) "))
-    words = F.col("__words")
+    held, opened = free_name(docs.columns, "__words"), free_name(docs.columns, "__open")
+    rows = docs.select(*kept, _words(F.col("text")).alias(held))
+    rows = rows.withColumn(opened, F.col(held).rlike(f" (?:{gate}) "))
+    words, opened = F.col(held), F.col(opened)
     base = F.flatten(F.transform(_table(list(BASE), list(range(len(BASE)))), lambda r: _places(words, r)))
     return rows.select(
         *kept,
         F.greatest(F.lit(0), _blanks(words) - 1).cast("long").alias("n_words"),
-        F.when(F.col("__open"), base).otherwise(none).alias("base_places"),
-        F.when(F.col("__open"), _surviving(_detections(words, found))).otherwise(none).alias("detections"),
+        F.when(opened, base).otherwise(none).alias("base_places"),
+        F.when(opened, _surviving(_detections(words, found))).otherwise(none).alias("detections"),
     )
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from studyloom.llm.arrays import byte_keys, chunks, mix, space_table, word_bounds, word_hashes
+from studyloom.llm.arrays import byte_keys, chunks, free_name, mix, space_table, word_bounds, word_hashes
 from studyloom.session import cut_lineage
 
 ANCHOR = 32
@@ -326,19 +326,20 @@ def repeated_windows(docs: DataFrame, length: int = 400, words: bool = False) ->
     return whole.unionByName(indexed)
 
 
-def _joined(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """Every row with ``__spans``: its repeated windows (null if it has none)."""
+def _joined(docs: DataFrame, length: int, words: bool = False) -> tuple[DataFrame, str]:
+    """Every row with its repeated windows (null if it has none), and the name of their column."""
+    spans, k1, k2 = (free_name(docs.columns, c) for c in ("__spans", "__k1", "__k2"))
     found = repeated_windows(docs, length, words)
-    per_row = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("__spans"))
+    per_row = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias(spans))
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     keyed = docs.withColumns(
         {
-            "__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")),
-            "__k2": F.xxhash64(text, F.col("doc_id").isNull()),
+            k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")),
+            k2: F.xxhash64(text, F.col("doc_id").isNull()),
         }
     )
-    per_row = per_row.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    return keyed.join(per_row, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    per_row = per_row.withColumnsRenamed({"k1": k1, "k2": k2})
+    return keyed.join(per_row, [k1, k2], "left").drop(k1, k2), spans
 
 
 def _cut(text: bytes, windows: list[dict] | None, length: int, whole_chars: bool) -> tuple[bytes, list[tuple[int, int]]]:
@@ -406,7 +407,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: bool = False) -> D
             spans = pa.array([[{"start": a, "end": b} for a, b in c[1]] for c in cut], kind)
             yield pa.RecordBatch.from_arrays([*columns, spans], [*names, "removed_spans"])
 
-    return _joined(docs, length, words).select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, schema)
+    joined, spans = _joined(docs, length, words)
+    return joined.select(*[F.col(f"`{c}`") for c in names], spans).mapInArrow(run, schema)
 
 
 def digest_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -427,7 +429,7 @@ def digest_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     text: Column = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    joined = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
-    return joined.select("doc_id", text.alias("text"), "__spans").mapInArrow(
+    joined, windows = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
+    return joined.select("doc_id", text.alias("text"), windows).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )

@@ -346,3 +346,33 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(len(r.token_ids) == r.n_tokens for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "suffix-array dedup", "mixing", "BPE"]
+
+
+def test_columns_with_inner_names_stay(spark, rows):
+    """Input columns named like the operators' own ones."""
+    names = ["__spans", "__K1", "__k2", "__words", "__Open"]
+    few = [(i, t, *["kept"] * 5) for i, t in rows if i in (3, 1002, 1003, 1004, 1008)]
+    df = spark.createDataFrame(few, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    cut = suffix_dedup.remove_repeats(df)
+    assert cut.columns == ["doc_id", "text", *names, "removed_spans"]
+    assert all(r[n] == "kept" for r in cut.collect() for n in names)
+    plain = {(r.doc_id, r.text) for r in suffix_dedup.remove_repeats(df.select("doc_id", "text")).collect()}
+    assert {(r.doc_id, r.text) for r in cut.collect()} == plain
+    found = licenses.scan_licenses(df)
+    assert found.columns == ["doc_id", "text", *names, "n_words", "base_places", "detections"]
+    assert all(r[n] == "kept" for r in found.collect() for n in names) and found.count() == len(few)
+
+
+def test_topics_equal_their_patterns(spark):
+    texts = ["LICENSE", "a licence", "Copyright", "All Rights Reserved", "a|b", "me@x.org", "a @ b", "1234", "123", "", None, "é@é", "x@é", "License | 1234"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.lit("prose")
+    for name, pattern in reversed(mixing.TOPICS):
+        plain = F.when(F.col("text").rlike(pattern), name).otherwise(plain)
+    for r in df.select("text", mixing.topic_of(F.col("text")).alias("a"), F.coalesce(plain, F.lit("prose")).alias("b")).collect():
+        assert r.a == r.b, r.text
+
+
+def test_search_without_rows(spark):
+    none = spark.createDataFrame([], "vec_id long, code long")
+    assert hamming.search(none, none).collect() == []
