@@ -57,12 +57,14 @@ def cooccurrence(
     once = diagnoses.select(basket, code).filter(F.col(code).isNotNull()).distinct()
     counts = once.groupBy(code).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
     kept = once.join(counts.select(code), code, "left_semi")
-    sizes = kept.groupBy(basket).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__parts"))
+    # a basket's distinct codes are at most the frequent codes, so they may be counted in one place
+    sized = kept.withColumn("__parts", F.ceil(F.count(F.lit(1)).over(Window.partitionBy(basket)) / chunk))
     place = F.pmod(F.xxhash64(code), F.col("__parts")).alias("__i")
     chunks = (
-        kept.join(sizes, basket).select(basket, code, "__parts", place)
+        sized.select(basket, code, "__parts", place)
         .groupBy(basket, "__parts", "__i").agg(F.array_sort(F.collect_set(code)).alias("codes"))
     )
+    chunks = cut_lineage(chunks, "chunks")  # read for pairs inside, and on both sides of pairs across
     inside = chunks.select("codes", F.posexplode("codes").alias("__p", "a"))
     inside = inside.select("a", F.explode(F.slice("codes", F.col("__p") + 2, F.size("codes"))).alias("b"))
     wide = chunks.filter("__parts > 1")
