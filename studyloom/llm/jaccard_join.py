@@ -32,9 +32,11 @@ from studyloom.llm.arrays import chunks, lower_table, mix, space_table, word_bou
 from studyloom.llm.suffix_dedup import keyed
 from studyloom.session import cut_lineage
 
-GROUPS = 64
+GROUPS = 256
 LEAF = 16
 BLOCK_MEMBERS = 2048
+#: Pairs of points compared at once.
+STEP = 1 << 13
 ORDER_BITS = 22
 CELL_BLOCK = 1 << 16
 #: A byte that belongs to a word.
@@ -95,8 +97,17 @@ def keys_of(found: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
     return found[np.lexsort((found, count))[: prefix_length(len(found), percent)]]
 
 
-def point_of(found: np.ndarray) -> np.ndarray:
-    return np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+def point_of(found: np.ndarray) -> bytes:
+    """Counts per group, in two bytes each where all fit, else in four."""
+    counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def points_from(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), GROUPS), np.uint32)
+    for i, row in enumerate(rows):
+        out[i] = np.frombuffer(row, np.uint16 if len(row) == 2 * GROUPS else np.uint32)
+    return out
 
 
 class CountTree:
@@ -135,11 +146,11 @@ class CountTree:
     @staticmethod
     def _fits(points, sizes, query, upper, least, most, node, percent):  # noqa: ANN001
         out = np.zeros(len(query), bool)
-        for i in range(0, len(query), 1 << 16):
-            q, b = query[i : i + (1 << 16)], node[i : i + (1 << 16)]
-            bound = np.minimum(points[q], upper[b]).sum(1)
+        for i in range(0, len(query), STEP):
+            q, b = query[i : i + STEP], node[i : i + STEP]
+            bound = np.minimum(points[q], upper[b]).sum(1, dtype=np.int64)
             other = np.maximum(least[b], -((-percent * sizes[q]) // 100))
-            out[i : i + (1 << 16)] = (other <= most[b]) & (bound >= needed(sizes[q], other, percent)) & (100 * sizes[q] >= percent * least[b])
+            out[i : i + STEP] = (other <= most[b]) & (bound >= needed(sizes[q], other, percent)) & (100 * sizes[q] >= percent * least[b])
         return out
 
 
@@ -197,7 +208,7 @@ def _described(docs: DataFrame, size: int, percent: int, order_bits: int) -> Dat
                     own = found[a:b]
                     name = mix(np.array([spread[a:b].sum() * _A + np.uint64(b - a)])).view(np.int64)[0]
                     sids.append(int(name) if b > a else None)
-                    points.append(point_of(own).tobytes())
+                    points.append(point_of(own))
                     keys.append(keys_of(own, count[a:b], percent).view(np.int64))
             columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(sids, pa.int64()), pa.array(np.diff(cuts), pa.int64())]
             columns += [pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
@@ -226,7 +237,7 @@ def _possible(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS) for i in (4, 5))
+            a, b = (points_from(batch.column(i).to_pylist()) for i in (4, 5))
             bound = np.minimum(a, b).sum(1, dtype=np.int64)
             fits = bound >= needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(fits)) for i in (0, 1)], ["a", "b"])
@@ -266,12 +277,15 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
 def _looked_up(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that the R-tree of a key cannot rule out.
 
-    ``members`` has key, sid, comp, n, point. Keys with more than BLOCK_MEMBERS members are dealt into blocks.
+    ``members`` has key, place, sid, comp, n, point; ``place`` counts a set's keys in the common order from 0. A key
+    that is the first shared one of a pair leaves an overlap of at most the shingles from its places on, so a pair
+    for which they are too few does not leave here: it cannot link, or does leave with an earlier key. Keys with more
+    than BLOCK_MEMBERS members are dealt into blocks.
     """
     many = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     placed = members.join(many, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "n", "point")
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "n", "point", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -283,13 +297,14 @@ def _looked_up(members: DataFrame, percent: int) -> DataFrame:
                 return None
             own, sid = np.array([r[3] for r in held]), np.array([r[4] for r in held], np.int64)
             n = np.array([r[6] for r in held], np.int64)
-            points = np.frombuffer(b"".join(r[7] for r in held), np.uint32).reshape(len(held), -1).astype(np.int64)
+            points = points_from([r[7] for r in held])
+            rest = n - np.array([r[8] for r in held], np.int64)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             if not len(left) or not len(right):
                 return None
             q, m = CountTree(points[right], n[right]).search(points[left], n[left], percent)
             q, m = left[q], right[m]
-            open_ = comp[q] != comp[m]
+            open_ = (comp[q] != comp[m]) & (np.minimum(rest[q], rest[m]) >= needed(n[q], n[m], percent))
             a, b = sid[q[open_]], sid[m[open_]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -325,9 +340,9 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90, order_bits: int =
     changes no result.
     """
     rows = cut_lineage(_described(docs, size, percent, order_bits), "sets")
-    known = rows.filter("n > 0").select("sid", F.explode("keys").alias("key"))
+    known = rows.filter("n > 0").select("sid", F.posexplode("keys").alias("place", "key"))
     shared = known.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("key")
-    members = cut_lineage(known.join(shared, "key").distinct(), "members")
+    members = cut_lineage(known.join(shared, "key").distinct(), "members")  # a set has each key at one place
     degree = members.groupBy("sid").agg(F.count("*").alias("degree"))
     vertices = rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("k1", "k2", "n", "point")).alias("at")).join(degree, "sid")
     vertices = cut_lineage(vertices.select("sid", "degree", "at.*"), "vertices")
@@ -338,9 +353,13 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90, order_bits: int =
     links = _verified(docs, possible, vertices, size, percent)
     comp = components(vertices, links)
     placed = members.join(comp, "sid")
-    unsettled = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"))
-    unsettled = unsettled.filter("x <> y and n > 2").select("key")
-    left = placed.join(unsettled, "key").join(vertices.select("sid", "n", "point"), "sid")
+    # of keys with the same members only the first in the common order can be the first shared one of a pair
+    same = [F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"same{i}") for i in (0, 1)]
+    unsettled = placed.groupBy("key").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.min("place").alias("place"), *same
+    )
+    unsettled = unsettled.filter("x <> y and n > 2").groupBy("n", "same0", "same1").agg(F.min(F.struct("place", "key"))["key"].alias("key"))
+    left = placed.join(unsettled.select("key"), "key").join(vertices.select("sid", "n", "point"), "sid")
     pairs = cut_lineage(_looked_up(left, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = _verified(docs, pairs, vertices, size, percent)
