@@ -302,7 +302,7 @@ def repeated_windows(docs: DataFrame, length: int = 400, words: bool = False) ->
         "strings",
     )
     # equal runs: every window of each of them is repeated
-    whole = runs.join(strings.filter("times > 1").select("key", "content"), ["key", "content"]).select("k1", "k2", "lo", "n")
+    whole = runs.join(strings.filter("times > 1"), ["key", "content"], "left_semi").select("k1", "k2", "lo", "n")
     # windows of a hot key are dealt out by the anchor's place in them, which equal windows share
     slice_no = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     width = F.ceil(F.lit(length) / F.col("slices")).cast("int")
