@@ -225,6 +225,33 @@ def test_license_scan(spark):
     assert len(licenses.rules()) > 200
 
 
+def test_points_of_very_large_sets():
+    small = np.arange(1000, dtype=np.uint64)
+    large = np.arange(70_000, dtype=np.uint64) * np.uint64(jaccard_join.GROUPS)  # all in one group
+    points = [jaccard_join.point_of(x) for x in (small, large)]
+    assert [len(p) for p in points] == [2 * jaccard_join.GROUPS, 4 * jaccard_join.GROUPS]
+    found = jaccard_join.points_from(points)
+    assert found.sum(1).tolist() == [1000, 70_000] and found[1, 0] == 70_000
+
+
+def test_family_below_the_threshold_leaves_few_pairs(spark):
+    """Copies with edits of their own share many keys but do not link; a chain of smaller edits does."""
+    base = [f"w{i}" for i in range(300)]
+    family = [[f"x{m}_{i}" if i % 25 == m % 25 else w for i, w in enumerate(base)] for m in range(20)]
+    chain = [base[:i] + [f"y{i}"] + base[i + 1 :] for i in range(0, 60, 20)]
+    texts = [" ".join(t) for t in family + chain]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x.split(" ") for x in texts)]
+    comp = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    assert 1 < len(set(comp)) < len(comp)
+    found = jaccard_join.linked(docs, 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(comp))
+
+
 def test_quality_and_toxicity(docs, labels, empty):
     weights = quality.fit_quality(docs, labels, ~quality.held_out(0, 5))
     scored = quality.score_quality(docs, weights, "n_chars").join(labels, "doc_id").collect()
