@@ -12,12 +12,16 @@ from ..operators.reports import route_reports
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over the Parquet files of a folder, schema taken from the files there."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """File stream over the Parquet files of a folder, schema taken from what is there.
+
+    ``pattern`` matches files and folders of part files alike.
+    """
+    path = f"{folder.rstrip('/')}/{pattern}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # a stream takes a plain path for a folder; a pattern may be a file or a folder
+    return reader.parquet(path if any(c in pattern for c in "*?[{") else f"{folder.rstrip('/')}/{{{pattern}}}")
 
 
 def clean_stream(reports: DataFrame, raw: str = "report_raw") -> DataFrame:

@@ -86,3 +86,13 @@ def test_end_mark_has_no_key(spark, tmp_path):
     J.end_mark(rows, "ts", f"{tmp_path}/m", "1 hour")
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/m").collect()] == [(None, T0 + timedelta(hours=1), None)]
     assert spark.read.parquet(f"{tmp_path}/m").schema["ts"].dataType == rows.schema["ts"].dataType
+
+
+def test_stream_reads_a_file_and_a_folder_of_part_files(spark, tmp_path):
+    rows = events(60)
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/in/events.parquet")
+    spark.createDataFrame(rows[:5], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "in" / "few.parquet")
+    for name, n in (("events.parquet", 60), ("few.parquet", 5), ("e*.parquet", 60)):
+        stream = J.read_parquet_stream(spark, f"{tmp_path}/in", name)
+        assert J.run_available(stream, f"{tmp_path}/out-{n}-{len(name)}", f"{tmp_path}/ck-{n}-{len(name)}").count() == n
