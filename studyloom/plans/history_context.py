@@ -35,11 +35,14 @@ def history_contexts(
     of ``keywords`` and is none of ``unknown``; of equal descriptions the first, then the lowest sequence
     numbers. Diagnoses come from the running state of the timeline, reports from the last studies of the subject.
     """
+    admissions = cut_lineage(admissions.select(subject, admission, discharge_time, "diagnoses"), "admissions")
     line, sizes = L.diagnosis_timeline(admissions, subject=subject, admission=admission, discharge_time=discharge_time)
     line = cut_lineage(line, "timeline")
     marks = L.study_marks(studies, sizes, subject=subject, key=key, study_time=study_time, discharge_time=discharge_time)
+    marks = cut_lineage(marks, "marks")  # read as events, as bucket ends and with the carried states
     relevant = T.contains_any(F.col("description"), keywords) & ~F.col("description").isin(*unknown)
     firsts = H.first_seen_descriptions(line, subject=subject, description="description", seq="seq_num", order=["position"], relevant=relevant)
+    firsts = cut_lineage(firsts, "firsts")
     found = H.relevant_descriptions(
         marks, firsts, subject=subject, study_id=key, end="end", description="description", order=["position"], limit=limit
     )

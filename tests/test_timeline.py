@@ -101,3 +101,24 @@ def test_relevant_descriptions_keep_the_first_of_equal_numbers(spark):
     spans = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 12, 3), (1, 13, 9), (2, 14, 5)], "s int, study int, end long")
     out = H.relevant_descriptions(spans, firsts, subject="s", study_id="study", end="end", description="name", order=["position"], limit=3)
     assert {r["study"]: r["descriptions"] for r in out.collect()} == {11: ["b"], 12: ["a", "c", "b"], 13: ["a", "c", "b"]}
+
+
+def test_history_job_computes_its_admissions_once(spark):
+    from studyloom.plans.history_context import history_contexts
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return x
+
+    diagnoses = "array<struct<seq_num:int,icd_code:string,description:string>>"
+    adm = spark.createDataFrame(
+        [(1, h, datetime(2020, 1, h + 1), [(1, "A", "heart valve"), (2, "B", f"lung {h}")]) for h in range(6)],
+        f"subject_id long, hadm_id long, dischtime timestamp, diagnoses {diagnoses}",
+    )
+    adm = adm.withColumn("hadm_id", F.udf(touch, "long").asNondeterministic()("hadm_id"))
+    studies = spark.createDataFrame([(1, 7, datetime(2020, 1, 4), "report of the first study")], "subject_id long, study_id long, study_datetime timestamp, report string")
+    text = history_contexts(studies, adm).collect()[0]["history_text"]
+    assert text == "[PATIENT MEDICAL HISTORY]\n- heart valve\n- lung 0\n- lung 1\n- lung 2"
+    assert seen.value == 6
