@@ -33,6 +33,8 @@ DISCOUNT = 0.75
 WINDOWS = (1, 3, 8)
 FLOOR = 2.0
 NAMES = ("word0", "word1", "pair0", "pair1")
+#: Bits by which texts without a label are mostly told before the join: 2 MB, whatever the number of labels.
+ID_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -142,6 +144,38 @@ def count_tables(train: DataFrame, size: Size) -> list[dict[str, np.ndarray]]:
     return out
 
 
+def labelled_texts(texts: DataFrame, known: DataFrame, bits: int = ID_BITS) -> DataFrame:
+    """(doc_id, text, label): the inner join of texts with labels, one per id, that moves little more than it returns.
+
+    A bit per hashed id of a label is set in a map of fixed size. Texts whose bit is not set have no label and stay where
+    they are; the others travel to the join compressed, and are written so once. Texts that share a bit with another id's label only leave in the join.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    # one 64-bit word of the map per row, so at most 2 ** (bits - 6) rows
+    words = known.select(slot.alias("slot")).selectExpr("cast(slot >> 6 AS int) AS word", "shiftleft(1L, cast(slot & 63 AS int)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    flags = np.zeros(1 << (bits - 6), np.uint64)
+    flags[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    held = texts.sparkSession.sparkContext.broadcast(flags)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            set_ = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            kept = batch.filter(pa.array(set_.astype(bool)))
+            packed = [None if t is None else zlib.compress(t, 1) for t in kept.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(packed, pa.binary())], ["doc_id", "text"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = [None if t is None else zlib.decompress(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.binary()), batch.column(2)], ["doc_id", "text", "label"])
+
+    asked = texts.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"), slot.alias("slot"))
+    joined = asked.mapInArrow(pack, "doc_id long, text binary").join(known, "doc_id").select("doc_id", "text", "label")
+    return cut_lineage(joined, "toxic-train").mapInArrow(unpack, "doc_id long, text binary, label int").withColumn("text", F.col("text").cast("string"))
+
+
 class Models:
     """Evidence of words and pairs from summed tables."""
 
@@ -249,8 +283,9 @@ def fit_toxicity(
         .agg(F.max("label").alias("label"))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(keep)
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("fold")
-    train = cut_lineage(texts.join(known, "doc_id").select("doc_id", "text", "label", fold), "toxic-train")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int")
+    known = cut_lineage(known, "toxic-labels")  # read for the map of ids and in the join
+    train = labelled_texts(texts, known).withColumn("fold", fold)
     *halves, both = count_tables(train, size)
     n = train.count()
     if n > max_rows:
@@ -265,6 +300,7 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([flat, batch.column(batch.schema.get_field_index("label"))], ["x", "label"])
 
     judged = train.mapInArrow(judge, "x array<double>, label int").toArrow()  # at most about max_rows short rows
+    other.destroy()  # the halves' models leave the executors' disks before the whole one comes
     x = np.array(judged.column("x").to_pylist(), float).reshape(len(judged), 6 + len(WINDOWS))
     fitted = _calibrate(x, judged.column("label").to_numpy().astype(float))
     return Toxicity(Models(both), size, *fitted)

@@ -403,3 +403,17 @@ def test_topics_equal_their_patterns(spark):
 def test_search_without_rows(spark):
     none = spark.createDataFrame([], "vec_id long, code long")
     assert hamming.search(none, none).collect() == []
+
+
+def test_labelled_texts_are_a_join_that_moves_only_labelled_texts(spark):
+    """Ids with negative numbers, repeats, nulls and shared bits; unlabelled texts leave before the shuffle."""
+    rows = [(i % 90 - 5, f"text é {i}" if i % 13 else None) for i in range(200)] + [(None, "no id"), (3, ""), (2**62, "far")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(-9, 60, 3)] + [(2**62, 1)], "doc_id long, label int")
+    want = sorted(map(str, texts.join(known, "doc_id").select("doc_id", "text", "label").collect()))
+    for bits in (7, 26):  # 128 bits: many ids share one
+        found = toxicity.labelled_texts(texts, known, bits)
+        assert sorted(map(str, found.collect())) == want
+    written = found.sparkSession.read.parquet(found.inputFiles()[0].rsplit("/", 1)[0])
+    assert dict(written.dtypes)["text"] == "binary"  # what travels and is written is compressed
+    assert toxicity.labelled_texts(texts, known.limit(0)).count() == 0
