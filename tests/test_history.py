@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studyloom.operators import history as H
-from studyloom.operators.scale import next_row, prefix_sums
+from studyloom.operators.scale import next_row, prefix_sums, with_prefix_sum
 
 T0 = datetime(2020, 1, 1)
 
@@ -101,3 +101,31 @@ def test_context_sections(spark):
         "[PATIENT MEDICAL HISTORY]\n- d",
         "",
     ]
+
+
+def test_prefix_sum_of_rows_with_a_payload(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *range(50)]), rng.randrange(9), f"p{i}") for i in range(300)]
+    df = table(spark, rows, "k string, o int, v int, p string")
+    bucket = F.floor(F.col("o") / 7)
+    got = {r["p"]: r["s"] for r in with_prefix_sum(df, ["k"], "o", bucket, F.col("v"), "s").collect()}
+    sums = {(r["k"], r["o"]): r["v"] for r in prefix_sums(df, ["k"], "o", bucket, {"v": F.col("v")}).collect()}
+    before = lambda k, o: sum(v for kk, oo, v, _ in rows if kk == k and (oo is None or oo < o))
+    want = {p: before(k, o) for k, o, _, p in rows if k is not None and o is not None}
+    assert got == want
+    assert sums == {(k, o): before(k, o) for k, o, *_ in rows if k is not None and o is not None}
+
+
+def test_prefix_sums_shuffle_their_rows_once(spark):
+    df = table(spark, [("a", 1, 2), ("b", None, 3), (None, 4, 5)], "k string, o int, v int")
+    out = prefix_sums(df, ["k"], "o", F.floor(F.col("o") / 7), {"v": F.col("v")})
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    kept = {name: spark.conf.get(name) for name in plain}
+    try:
+        for name, value in plain.items():
+            spark.conf.set(name, value)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert "ReusedExchange" in plan
