@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..conf import disease_tables as D
 from ..operators import knowledge as K
 from ..operators.patient import history_diagnoses
-from ..operators.scale import prefix_sums
+from ..operators.scale import with_prefix_sum
 from ..operators.timeline import BUCKET, code_marks
 from ..session import cut_lineage
 
@@ -42,13 +42,13 @@ def build_kb_from_timelines(
     code's baskets are the studies that have seen it. The name of a code is its first description in the history of
     the first study (by key) that has it.
     """
-    codes = cut_lineage(code_marks(timeline, marks, subject=subject, key=key), "codes")
+    codes = cut_lineage(code_marks(timeline, marks, subject=subject, key=key).select(subject, key, "icd", "ord"), "codes")
     # marks with end <= position, as a sum over the places before position + 1
-    at = timeline.select(subject, "icd", (F.col("position") + 1).alias("place"))
-    stops = marks.select(subject, F.col("end").alias("place"), F.lit(1).alias("n")).unionByName(at.select(subject, "place", F.lit(0).alias("n")))
-    blind = prefix_sums(stops, [subject], "place", F.floor(F.col("place") / BUCKET), {"blind": F.col("n")})
+    at = timeline.select(subject, "icd", (F.col("position") + 1).alias("place"), F.lit(0).alias("n"))
+    stops = marks.select(subject, F.lit(None).cast("string").alias("icd"), F.col("end").alias("place"), F.lit(1).alias("n"))
+    blind = with_prefix_sum(at.unionByName(stops), [subject], "place", F.floor(F.col("place") / BUCKET), F.col("n"), "blind")
     studies = marks.groupBy(subject).agg(F.count(F.lit(1)).alias("all"))
-    seen = at.join(blind, [subject, "place"]).join(studies, subject)
+    seen = blind.filter("n = 0").join(studies, subject)
     frequency = seen.groupBy("icd").agg(F.sum(F.col("all") - F.col("blind")).alias("frequency")).filter("frequency > 0")
     first = codes.groupBy("icd").agg(F.min_by(F.struct(subject, F.col("ord").alias("position")), F.struct(key, "ord")).alias("f")).select("icd", "f.*")
     names = first.join(timeline.select(subject, "position", F.col("description").alias("name")), [subject, "position"])
