@@ -34,6 +34,23 @@ def test_basket_of_ten_thousand_codes_spreads_and_stays_whole(spark):
     assert found.agg(F.count("*"), F.min("support"), F.max("support")).first()[:] == (300 * 299 // 2, 2, 2)
 
 
+def test_baskets_move_once_to_be_dealt_into_chunks(spark, monkeypatch):
+    written, cut = {}, K.cut_lineage
+
+    def kept(df, name="step"):
+        written[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(K, "cut_lineage", kept)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.createDataFrame([(b, f"c{c}") for b in range(20) for c in range(b % 5)], "b int, c string")
+        K.cooccurrence(rows, basket="b", code="c", min_support=2, min_confidence=0.0).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert written["chunks"].count("Exchange hashpartitioning") == 1
+
+
 def grown(seeds, entities, relations, hops, limit):
     """Members and edges as the definition has them, one key at a time."""
     nodes, edges = {}, []

@@ -89,6 +89,25 @@ def test_lowest_of_a_prefix_equals_sorting(spark, bucket):
     assert got == {m: sorted((q, p, n) for s2, p, q, n in rows if s2 == s and p < e)[:4] for s, m, e in marks}
 
 
+def test_strongest_codes_are_not_moved_per_study_and_code(states):
+    plan = L.strongest_state(*states, **KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate inline")[0]
+    assert "Generate inline" in plan and not any(word in above for word in ("Join", "Window", "Aggregate", "Repartition"))
+
+
+def test_strongest_codes_of_repeated_and_odd_rows(spark):
+    """A study listed twice counts twice; values without number, and what lies in an earlier bucket."""
+    rows = [(1, "A", 0, 2.0, 24000), (1, "A", 0, 2.0, 24000), (1, "B", 3, None, 24001), (1, "A", 5, 1.0, 24002), (1, None, 6, 9.0, 24002), (None, "A", 0, 9.0, 24000)]
+    line = spark.createDataFrame(rows, "subject_id int, icd string, position long, severity double, month int")
+    ends = [(1, 10, 0, 24002), (1, 11, 1, 24002), (1, 11, 1, 24002), (1, 12, 4, 24003), (1, 13, 7, 24003), (2, 14, 9, 24003), (None, 15, 9, 24003)]
+    marks = spark.createDataFrame(ends, "subject_id int, study_id long, end long, month int")
+    for bucket in (2, 3, 256):
+        out = L.strongest_state(line, marks, **KEYS, bucket=bucket).collect()
+        got = sorted((r["study_id"], r["icd"], r["ord"], None if r["raw"] is None else round(r["raw"], 6)) for r in out)
+        two, three = round(2 * exp(-0.2), 6), round(2 * exp(-0.3), 6)
+        assert got == [(11, "A", 0, two), (11, "A", 0, two), (12, "A", 0, three), (12, "B", 3, None), (13, "A", 0, three), (13, "B", 3, None)]
+
+
 def test_no_rows_or_no_marks(states):
     line, marks = states
     for a, b in ((line.filter("false"), marks), (line, marks.filter("false"))):
