@@ -14,6 +14,12 @@ TOXIC = (
     r"(?:signed|dictated)\s+by",
 )
 
+# of these words, in lower case, every text with a match of TOXIC holds at least one
+TOXIC_WORDS = (
+    "communicated", "paged", "discussed", "notified", "contacted", "telephoned", "called", "back", "dr.", "physician", "radiologist",
+    "signed", "dictated",
+)
+
 # applied with case as written
 CLOCK_TIME = r"\d{1,2}:\d{2}\s*(?:a\.m\.|p\.m\.|AM|PM|am|pm)"
 
@@ -43,6 +49,19 @@ VIEW_PHRASES = (
     r"(?:portable\s+)?(?:upright\s+)?views?\s+(?:of\s+the\s+chest\s+)?(?:are|were)\s+obtained.*?(?:\.|$)",
 )
 
+# words, in lower case: every text that the pattern matches holds one of them unbroken
+NEEDED_WORDS = dict(
+    zip(
+        BENIGN_NOISE + VIEW_PHRASES,
+        [
+            ("technique",), ("differences",), ("comparison",), ("comparison",), ("compared",), ("interval",), ("unchanged",), ("study",),
+            ("again",), ("prior",), ("previous",), (), ("signed",), ("dictated",),
+            ("lateral",), ("view", "radiograph", "image", "chest", "film"), ("chest",), ("view", "radiograph", "image"), ("view",), ("view",),
+        ],
+        strict=True,
+    )
+)
+
 GHOST_WORDS = (
     r"As",
     r"In",
